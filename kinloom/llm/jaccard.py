@@ -14,8 +14,12 @@ a document's size level asks for; a document's shingles in one fragment are a se
 * Overlaps of a pair are counted in each of a few coarse fragments by itself and summed.
 * Not all pairs of a group are looked at. First each document meets the one of its keys' least
   members with which it shares most keys. Then, as long as a key holds documents of different
-  components, up to ``CENTRES`` of them, from the smallest components, meet all others of the key
-  and leave it. When no key is open, every pair of different components has been refuted.
+  components, some of them, from the smallest components, meet all others of the key and leave it.
+  When no key is open, every pair of different components has been refuted. In a key of more than
+  ``CENTRES`` documents they meet as parity sketches, blocks of members against blocks of centres:
+  bit i says whether an odd number of shingles hash to i, so two sets differ in at least as many
+  shingles as their sketches differ in bits. Only pairs that this can't refute become rows, and
+  as long as that finds links, only each document's nearest centre of another component does.
 
 Shingles of 64-bit hashes: two of a corpus' pair of documents collide with a chance below 1e-12.
 A document's size levels grow by half; a document near a level's edge has keys in both levels.
@@ -31,6 +35,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +46,8 @@ from kinloom.operators.components import connected_components
 from kinloom.plans.scratch import Scratch, left_join_hot, small
 
 CENTRES = 16
+#: Centres and members of one block of a larger key.
+BLOCK_CENTRES, BLOCK_MEMBERS = 512, 4096
 #: Coarse fragments in which a pair's overlap is counted.
 PARTS = 4
 GROWTH = 1.5
@@ -93,9 +100,57 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """The parity sketch: of two to four bits per shingle, a power of two within 2^8 and 2^16."""
+    bits = 1 << min(16, max(8, (2 * len(tokens) - 1).bit_length()))
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def unrefuted(members: pd.DataFrame, centres: pd.DataFrame, percent: int, nearest: bool) -> pd.DataFrame:
+    """(a, b), a > b: members and centres of other labels whose sizes and sketches allow a link,
+    all of them or each member's nearest.
+    The longer sketch is folded, which xors bits whose index agrees in its low places."""
+    out = [np.zeros((0, 2), np.int64)]
+    if not len(members) or not len(centres):
+        return pd.DataFrame(out[0], columns=["a", "b"])
+    sketches = [np.frombuffer(x, np.uint64) for x in members["bits"]]
+    width = np.array([len(x) for x in sketches])
+    folded: dict[tuple[int, int], np.ndarray] = {}
+    cid, n, label = (members[c].to_numpy() for c in ("cid", "n", "label"))
+    least_apart, partner = np.full(len(members), 2.0), np.full(len(members), -1)
+    for one in centres.itertuples(index=False):
+        mine = np.frombuffer(one.bits, np.uint64)
+        fits = (label != one.label) & (100 * np.minimum(n, one.n) >= percent * np.maximum(n, one.n))
+        for w in np.unique(width[fits]):
+            on = np.flatnonzero(fits & (width == w))
+            least = min(int(w), len(mine))
+            if (w, least) not in folded:
+                group = np.flatnonzero(width == w)
+                stack = np.stack([sketches[i] for i in group]).reshape(len(group), -1, least)
+                place = np.full(len(members), -1)
+                place[group] = np.arange(len(group))
+                folded[w, least] = (np.bitwise_xor.reduce(stack, 1), place)
+            stack, place = folded[w, least]
+            other = np.bitwise_xor.reduce(mine.reshape(-1, least), 0)
+            apart = np.bitwise_count(stack[place[on]] ^ other).sum(1, dtype=np.int64)
+            share = apart / (n[on] + one.n)
+            ok = apart * (100 + percent) <= (n[on] + one.n) * (100 - percent)
+            near = on[ok]
+            if nearest:
+                nearer = ok & (share < least_apart[on])
+                least_apart[on[nearer]], partner[on[nearer]] = share[nearer], one.cid
+                continue
+            out.append(np.stack([np.maximum(cid[near], one.cid), np.minimum(cid[near], one.cid)], 1))
+    if nearest:
+        met = partner >= 0
+        out.append(np.stack([np.maximum(cid[met], partner[met]), np.minimum(cid[met], partner[met])], 1))
+    return pd.DataFrame(np.concatenate(out), columns=["a", "b"]).drop_duplicates()
+
+
 def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(uid, doc_id, n, h1, h2, keys0, skip0, keys1, skip1, prefix) of every row."""
-    names = ["uid", "doc_id", "n", "h1", "h2", "keys0", "skip0", "keys1", "skip1", "prefix"]
+    """(uid, doc_id, n, h1, h2, keys0, skip0, keys1, skip1, prefix, bits) of every row."""
+    names = ["uid", "doc_id", "n", "h1", "h2", "keys0", "skip0", "keys1", "skip1", "prefix", "bits"]
 
     def run(batches):
         import xxhash
@@ -103,7 +158,7 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
         levels = Levels(percent)
         for batch in batches:
             for a, b in slices(batch.column(2)):
-                n, h1, h2, keys, skips, prefix = [], [], [], ([], []), ([], []), []
+                n, h1, h2, keys, skips, prefix, bits = [], [], [], ([], []), ([], []), [], []
                 for tokens in shingles(*words(encoded(batch.column(2).slice(a, b - a))), k):
                     digest = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64)
                     found, skip, short = levels.keys(tokens)
@@ -111,14 +166,15 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     h1.append(digest[0])
                     h2.append(digest[1])
                     prefix.append(short)
+                    bits.append(parity(tokens))
                     for i in range(2):
                         keys[i].append(found[i])
                         skips[i].append(skip[i])
                 lists = lambda x: pa.array(x, pa.list_(pa.int64()))
                 longs = lambda x: pa.array(x, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), longs(n), longs(h1), longs(h2), lists(keys[0]), longs(skips[0]), lists(keys[1]), longs(skips[1]), lists(prefix)], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), longs(n), longs(h1), longs(h2), lists(keys[0]), longs(skips[0]), lists(keys[1]), longs(skips[1]), lists(prefix), pa.array(bits, pa.binary())], names)
 
-    types = ["array<long>" if c in ("keys0", "keys1", "prefix") else "long" for c in names]
+    types = ["array<long>" if c in ("keys0", "keys1", "prefix") else "binary" if c == "bits" else "long" for c in names]
     return _numbered(docs).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in zip(names, types, strict=True)))
 
 
@@ -159,20 +215,26 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90, scratch: Scratch
     classes = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.count(F.lit(1)).alias("size"), first)
     classes = s.table(classes.select("h1", "h2", "n", "size", F.col("first.uid").alias("cid"), F.col("first.doc_id").alias("name")), "classes")
 
-    # keys of classes, those that two or more share, and of these each class' rarest
+    # Keys of classes, those that two or more share, and of these each class' rarest. All of these
+    # tables are as large as the corpus at any size, so their joins always shuffle. A key's owner
+    # is cid and level in one number.
     ids = classes.select(F.col("cid").alias("uid"))
-    at_level = lambda level, skip, keys: F.struct(F.lit(level).alias("level"), skip.alias("skip"), F.col(keys).alias("keys"))
-    every = F.array(at_level(0, F.col("skip0"), "keys0"), at_level(1, F.col("skip1"), "keys1"), at_level(2, F.lit(0).cast("long"), "prefix"))
-    mine = rows.join(ids, "uid", "left_semi").select(F.col("uid").alias("cid"), F.inline(every))
-    keys = s.table(mine.select("cid", "level", "skip", F.explode("keys").alias("key")), "keys")
-    shared = s.table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1"), "shared")
-    w = Window.partitionBy("cid", "level").orderBy(F.desc("docs"), "key")
-    kept = keys.join(small(shared), "key").withColumn("place", F.row_number().over(w)).where("place > skip")
+    at_level = lambda level, keys: F.transform(keys, lambda x: F.struct((F.col("uid") * 4 + level).alias("owner"), x.alias("key")))
+    mine = rows.join(ids, "uid", "left_semi").select(F.inline(F.concat(at_level(0, "keys0"), at_level(1, "keys1"), at_level(2, "prefix"))))
+    keys = s.table(mine, "keys")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    common = s.table(keys.join(shared, "key"), "common")
+    s.drop(keys)
+    skips = rows.select(F.col("uid").alias("cid"), "n", "bits", F.array("skip0", "skip1", F.lit(0).cast("long")).alias("skips"))
+    cid = F.shiftright("owner", 2)
+    sizes = s.table(skips.join(common.select(cid.alias("cid")).distinct(), "cid"), "sizes")
+    place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("docs"), "key"))
+    kept = common.withColumn("place", place).withColumn("cid", cid).join(sizes.select("cid", "skips"), "cid")
+    kept = kept.where(F.col("place") > F.get("skips", F.col("owner").bitwiseAND(3).cast("int")))
     members = s.table(kept.select("key", "cid"), "members")
-    s.drop(keys, shared)
+    s.drop(common)
 
-    sizes = s.table(classes.select("cid", "n").join(members.select("cid").distinct(), "cid"), "sizes")
-    size_of = small(sizes)
+    size_of = small(sizes.select("cid", "n"))
 
     def sized(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes allow the similarity."""
@@ -188,29 +250,47 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90, scratch: Scratch
         out = overlaps(sized(pairs), segs)
         return s.table(out.select("a", "b", verdict.alias("linked")), "verified")
 
+    def block_pairs(now_open: DataFrame, centres: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs of the larger keys that sketches don't refute."""
+        blocks = F.ceil(F.col("docs") / BLOCK_MEMBERS)
+        with_bits = sizes.select("cid", "n", "bits")
+        left = now_open.where(F.col("docs") > CENTRES).withColumn("block", F.pmod(F.xxhash64("cid"), blocks))
+        right = centres.where(F.col("docs") > CENTRES).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        cols = ["key", "block", "cid", "n", "label", "bits"]
+        left, right = (x.join(with_bits, "cid").select(*[F.col(c).alias(c) for c in cols]).groupBy("key", "block") for x in (left, right))
+        return left.cogroup(right).applyInPandas(lambda m, c: unrefuted(m, c, percent, nearest), "a long, b long")
+
     least = members.groupBy("key").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
     met = members.join(least, "key").where("cid <> b").groupBy(F.col("cid").alias("a"), "b").agg(F.count(F.lit(1)).alias("common"))
     best = met.groupBy("a").agg(F.max_by("b", F.struct("common", -F.col("b"))).alias("b"))
     seen = verified(best)
     label = connected_components(seen.where("linked"), scratch=s)
+    greedy = True
     while True:
         now = members.join(small(label.withColumnRenamed("node", "cid")), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
         now = s.table(now, "labelled")
-        unsettled = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        now_open = s.table(now.join(small(s.table(unsettled, "unsettled")), "key", "left_semi"), "open")
+        unsettled = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("docs")).where("low <> high").select("key", "docs")
+        now_open = s.table(now.join(small(s.table(unsettled, "unsettled")), "key"), "open")
         s.drop(now)
         if now_open.isEmpty():
             break
         weight = now_open.groupBy("key", "label").agg(F.count(F.lit(1)).alias("weight"))
         ranked = now_open.join(weight, ["key", "label"]).withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("weight", "cid")))
-        centres = s.table(ranked.where(F.col("place") <= CENTRES).select("key", "cid", "label"), "centres")
-        c = centres.select("key", F.col("cid").alias("b"), F.col("label").alias("other"))
-        pairs = now_open.join(c, "key").where("label <> other").select(F.greatest("cid", "b").alias("a"), F.least("cid", "b").alias("b")).distinct()
-        fresh = verified(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
-        members = s.table(now_open.select("key", "cid").join(centres.select("key", "cid"), ["key", "cid"], "left_anti"), "members")
+        most = F.when(F.col("docs") > CENTRES, BLOCK_CENTRES).otherwise(CENTRES)
+        centres = s.table(ranked.where(F.col("place") <= BLOCK_CENTRES).where(F.col("place") <= most).select("key", "cid", "label", "docs"), "centres")
+        greedy = greedy and not now_open.where(F.col("docs") > CENTRES).isEmpty()
+        pairs = block_pairs(now_open, centres, greedy)
+        if not greedy:
+            c = centres.where(F.col("docs") <= CENTRES).select("key", F.col("cid").alias("b"), F.col("label").alias("other"))
+            few = now_open.where(F.col("docs") <= CENTRES).join(c, "key").where("label <> other")
+            pairs = pairs.union(few.select(F.greatest("cid", "b").alias("a"), F.least("cid", "b").alias("b")))
+        fresh = verified(pairs.distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti"))
+        if not greedy:
+            members = s.table(now_open.select("key", "cid").join(centres.select("key", "cid"), ["key", "cid"], "left_anti"), "members")
         seen = s.table(seen.unionByName(fresh), "verified")
-        edges = fresh.where("linked").select("a", "b").union(label.select("node", "label"))
-        label = connected_components(edges, scratch=s)
+        links = fresh.where("linked").select("a", "b")
+        greedy = greedy and not links.isEmpty()
+        label = connected_components(links.union(label.select("node", "label")), scratch=s)
         s.drop(now_open)
 
     joined = classes.join(small(label.withColumnRenamed("node", "cid")), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
