@@ -96,13 +96,15 @@ def with_rest(hist: str, total: Column) -> Column:
     return F.concat(hist, F.array(F.greatest(F.lit(0.0), total - listed)))
 
 
+def shares(hist: Column, total: Column) -> Column:
+    return F.transform(hist, lambda x: x / total)
+
+
 def distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two histograms of the same bins; null if one is empty."""
-    total = lambda h: F.aggregate(h, F.lit(0.0), lambda a, x: a + x)
+    """Jensen-Shannon distance of two arrays of shares of the same bins."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    scale = lambda h: F.transform(h, lambda x: F.try_divide(x, total(h)))
-    each = F.zip_with(scale(p), scale(q), lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), total(each)))
+    each = F.zip_with(p, q, lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
 def references(feat: DataFrame, least_share: float = 0.001) -> DataFrame:
@@ -114,11 +116,11 @@ def references(feat: DataFrame, least_share: float = 0.001) -> DataFrame:
     out = full.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *bins("chars", k_chars), *bins("commons", k_words))
     out = out.where(F.col("docs") >= max(1, n * least_share))
 
-    def shares(c: str, k: int) -> Column:
+    def parts(c: str, k: int) -> Column:
         total = sum((F.col(f"{c}{i}") for i in range(k)), F.lit(0.0))
         return F.array(*[F.try_divide(F.col(f"{c}{i}"), total) for i in range(k)])
 
-    return out.select("lang", shares("chars", k_chars).alias("ref_chars"), shares("commons", k_words).alias("ref_commons"))
+    return out.select("lang", parts("chars", k_chars).alias("ref_chars"), parts("commons", k_words).alias("ref_commons"))
 
 
 def judge(docs: DataFrame, max_chars: float = 0.335, max_commons: float = 0.26, min_letters: int = 200, min_words: int = 150, scratch: Scratch | None = None) -> DataFrame:
@@ -130,12 +132,16 @@ def judge(docs: DataFrame, max_chars: float = 0.335, max_commons: float = 0.26,
     table = s.table(table, "references")  # one row, of at most 1,000 languages
     d = feat.join(F.broadcast(table))
     d = d.withColumn("own", F.try_element_at("refs", "lang"))
-    d = d.withColumn("against", F.when(F.col("own").isNotNull(), F.array("own")).otherwise(F.map_values("refs")))
-    n_chars = F.aggregate("chars", F.lit(0.0), lambda a, x: a + x)
-    chars = F.when(n_chars >= min_letters, F.array_min(F.transform("against", lambda r: distance(F.col("chars"), r["ref_chars"]))))
-    full = with_rest("commons", F.col("n_words"))
-    words = F.when(F.col("n_words") >= min_words, F.array_min(F.transform("against", lambda r: distance(full, r["ref_commons"]))))
-    d = d.withColumn("char_distance", chars).withColumn("word_distance", words)
+    # totals and shares are columns of their own, so that no lambda sums them again
+    d = d.withColumn("n_chars", F.aggregate("chars", F.lit(0.0), lambda a, x: a + x)).withColumn("full", with_rest("commons", F.col("n_words")))
+    d = d.withColumn("p_chars", F.when(F.col("n_chars") >= min_letters, shares(F.col("chars"), F.col("n_chars"))))
+    d = d.withColumn("p_words", F.when(F.col("n_words") >= min_words, shares(F.col("full"), F.col("n_words"))))
+
+    def nearest(p: str, ref: str) -> Column:
+        any_ref = F.array_min(F.transform(F.map_values("refs"), lambda r: distance(F.col(p), r[ref])))
+        return F.when(F.col(p).isNull(), None).when(F.col("own").isNotNull(), distance(F.col(p), F.col("own")[ref])).otherwise(any_ref)
+
+    d = d.withColumn("char_distance", nearest("p_chars", "ref_chars")).withColumn("word_distance", nearest("p_words", "ref_commons"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     far = F.coalesce(F.col("char_distance") > max_chars, F.lit(False)) | F.coalesce(F.col("word_distance") > max_commons, F.lit(False))
     d = d.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
