@@ -32,7 +32,7 @@ _SHORT = (2, 1)
 #: The pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct text units that a worker keeps between batches.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 800_000
 CACHE_CHARS = 64
 
 
@@ -185,12 +185,12 @@ def worker_cache(name: str, key: str) -> dict:
     return kept[1]
 
 
-def look_up(model: Bpe, cache: dict, texts: list[str], make) -> dict:
-    """Makes ``cache`` hold every unit of ``texts``; returns it, or a copy with units too long
+def look_up(model: Bpe, cache: dict, texts: list[list[str]], make) -> dict:
+    """Makes ``cache`` hold every unit of ``texts``; returns it, or a view with units too long
     to keep. ``make`` gives a unit's entry from its ids."""
     if len(cache) > CACHE_UNITS:
         cache.clear()
-    new = list({u for t in texts for u in units_of(t)} - cache.keys())
+    new = list({u for units in texts for u in units if u not in cache})
     here = dict(zip(new, map(make, encode_units(model, new)), strict=True))
     if any(len(u) > CACHE_CHARS for u in new):
         return _Both(cache, here)
@@ -228,15 +228,16 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFr
 
         for batch in batches:
             column = batch.column(1)
-            for a, b in slices(column, 2 << 20):
+            for a, b in slices(column, 4 << 20):
                 texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
-                cut = [_cut(bpe, t) for t in texts]
-                known = look_up(bpe, cache, [p for pieces in cut for p, special in pieces if not special], make)
+                # of each text the special tokens as strings, the rest as lists of units
+                cut = [[p if special else units_of(p) for p, special in _cut(bpe, t)] for t in texts]
+                known = look_up(bpe, cache, [p for pieces in cut for p in pieces if isinstance(p, list)], make)
                 rows = []
                 for pieces in cut:
                     got = []
-                    for piece, special in pieces:
-                        got += [make([bpe.special[piece]])] if special else map(known.__getitem__, units_of(piece))
+                    for piece in pieces:
+                        got += map(known.__getitem__, piece) if isinstance(piece, list) else [make([bpe.special[piece]])]
                     listed = ",".join([g[1] for g in got if g[0]])
                     text = b"".join([g[2] for g in got])
                     try:

@@ -41,7 +41,7 @@ class Transducer:
         return {word: total[-1] for word, _, total in self.bpe.walk(words)}
 
     def compile(self, cache: dict, units: set[str]) -> dict:
-        new = list(units - cache.keys())
+        new = [u for u in units if u not in cache]
         find = regex.compile(PATTERN).findall
         split = [[w.encode() for w in find(u)] for u in new]
         counts = self.words(list({w for ws in split for w in ws}))
@@ -128,7 +128,7 @@ def count(docs: DataFrame, path: str | None = None, limit: int = 512, chunk: int
         machine, cache = Transducer(bpe), worker_cache("count", bpe.key)
         for batch in batches:
             column = batch.column(1)
-            for a, b in slices(column, 2 << 20):
+            for a, b in slices(column, 4 << 20):
                 counts, units, special = [], [], []
                 for t in column.slice(a, b - a).to_pylist():
                     cut = _cut(bpe, t) if t else []
