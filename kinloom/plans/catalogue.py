@@ -439,6 +439,6 @@ def oracle_sql() -> dict[str, str]:
         "lookup_join": "SELECT CAST(o_orderkey AS VARCHAR) AS commit, l_linenumber, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'",
         "core_contributors": """WITH d AS (SELECT event_type AS project, user_id AS author, count(*) AS n FROM events GROUP BY 1, 2) SELECT project, author, n,
           coalesce(sum(n) OVER (PARTITION BY project ORDER BY n DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) - n * count(*) OVER (PARTITION BY project, n) < 0.8 * sum(n) OVER (PARTITION BY project) AS core FROM d""",
-        "ci_normal": f"""WITH {groups}, l AS ({long}), g AS (SELECT metric, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, median(value) AS median, stddev_samp(value) / sqrt(count(*)) AS sem FROM l GROUP BY 1)
-          SELECT metric, n, mean, std, median, mean - sem * T_QUANTILE AS t_lower, mean + sem * T_QUANTILE AS t_upper FROM g""".replace("T_QUANTILE", repr(evaluate.t_quantile(0.975, 124))),
+        "ci_normal": f"""WITH {groups}, l AS ({long}), i AS (SELECT metric, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, median(value) AS median, stddev_samp(value) / sqrt(count(*)) AS sem FROM l GROUP BY 1)
+          SELECT metric, n, mean, std, median, mean - sem * T_QUANTILE AS t_lower, mean + sem * T_QUANTILE AS t_upper FROM i""".replace("T_QUANTILE", repr(evaluate.t_quantile(0.975, 124))),
     }
