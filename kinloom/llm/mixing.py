@@ -151,6 +151,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int =
             for shard in frame["id"]:
                 got, start = _descend(int(shard), shards, quota, seed)
                 on = np.flatnonzero(got)
+                if not len(on):
+                    continue
                 yield pd.DataFrame({"pool": [names[i] for i in on], "shard": int(shard), "start": start[on], "blocks": got[on]})
 
     out_type = T.StructType([T.StructField("pool", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("shard", "start", "blocks")]])
