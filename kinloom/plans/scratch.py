@@ -8,6 +8,7 @@ compressed, pruned by column and carry their size to the optimizer.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +64,11 @@ class Scratch:
         out._kinloom_path = path
         return out
 
+    def release(self) -> None:
+        """Lets Spark delete shuffle files that no plan in use can read any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             if path := getattr(t, "_kinloom_path", None):
