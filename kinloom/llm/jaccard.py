@@ -61,7 +61,7 @@ class Levels:
         if not 67 <= percent <= 100:
             raise ValueError("percent must be from 67 to 100: a partner's level is next door at most")
         self.percent = percent
-        share = 1.3 * (100 - percent) / percent  # of a document's size, the segments it needs
+        share = 1.12 * (100 - percent) / percent  # of a document's size, the segments it needs
         mean = 1.0  # shingles in a segment of the largest documents of a level
         while share and mean < 12 and (1 - math.exp(-mean - 0.1)) / (mean + 0.1) > share:
             mean += 0.1
@@ -210,7 +210,8 @@ def overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:
 def components(docs: DataFrame, k: int = 3, percent: int = 90, scratch: Scratch | None = None) -> DataFrame:
     """(uid, doc_id, n_shingles, component_id) of every row of ``docs``."""
     s = scratch or Scratch(docs.sparkSession)
-    rows = s.table(sketches(docs, k, percent), "sketches")
+    full = s.table(sketches(docs, k, percent), "sketches")
+    rows = s.table(full.drop("keys0", "keys1", "prefix"), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
     classes = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.count(F.lit(1)).alias("size"), first)
     classes = s.table(classes.select("h1", "h2", "n", "size", F.col("first.uid").alias("cid"), F.col("first.doc_id").alias("name")), "classes")
@@ -220,11 +221,13 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90, scratch: Scratch
     # is cid and level in one number.
     ids = classes.select(F.col("cid").alias("uid"))
     at_level = lambda level, keys: F.transform(keys, lambda x: F.struct((F.col("uid") * 4 + level).alias("owner"), x.alias("key")))
-    mine = rows.join(ids, "uid", "left_semi").select(F.inline(F.concat(at_level(0, "keys0"), at_level(1, "keys1"), at_level(2, "prefix"))))
-    keys = s.table(mine, "keys")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    common = s.table(keys.join(shared, "key"), "common")
-    s.drop(keys)
+    mine = full.join(ids, "uid", "left_semi").select(F.inline(F.concat(at_level(0, "keys0"), at_level(1, "keys1"), at_level(2, "prefix"))))
+    # one exchange serves the count and the join: counting owners keeps their column in both
+    mine = mine.repartition("key")
+    shared = mine.groupBy("key").agg(F.count("owner").alias("docs")).where("docs > 1")
+    common = s.table(mine.join(shared, "key"), "common")
+    s.drop(full)
+    s.release()
     skips = rows.select(F.col("uid").alias("cid"), "n", "bits", F.array("skip0", "skip1", F.lit(0).cast("long")).alias("skips"))
     cid = F.shiftright("owner", 2)
     sizes = s.table(skips.join(common.select(cid.alias("cid")).distinct(), "cid"), "sizes")
@@ -233,6 +236,9 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90, scratch: Scratch
     kept = kept.where(F.col("place") > F.get("skips", F.col("owner").bitwiseAND(3).cast("int")))
     members = s.table(kept.select("key", "cid"), "members")
     s.drop(common)
+    # a key that only one document kept brings nobody together
+    met = members.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1").select("key")
+    members = s.table(members.join(met, "key", "left_semi"), "members")
 
     size_of = small(sizes.select("cid", "n"))
 
@@ -243,7 +249,7 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90, scratch: Scratch
             p = p.join(size_of.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}")), c)
         return p.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb")
 
-    segs = s.table(segments(docs, small(sizes.select("cid")), k), "segments")
+    segs = s.table(segments(docs, small(s.table(members.select("cid").distinct(), "wanted")), k), "segments")
     verdict = F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))
 
     def verified(pairs: DataFrame) -> DataFrame:
