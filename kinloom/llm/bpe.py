@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from kinloom.llm.text import slices
+from kinloom.llm.text import slices, worker_cache
 
 _BYTES = 256
 _NEVER = 1 << 40
@@ -154,7 +154,6 @@ class Bpe:
 #: after another character, always begins a new pre-token. Other white space takes the long way.
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _ODD = re.compile(r"[^\S \n]|\x85")
-_state: dict = {}
 
 
 def _cut(model: Bpe, text: str) -> list[tuple[str, bool]]:
@@ -177,14 +176,6 @@ def encode_units(model: Bpe, units: list[str]) -> list[list[int]]:
     return [[t for w in ws for t in coded[w]] for ws in split]
 
 
-def worker_cache(name: str, key: str) -> dict:
-    """A dict of this worker process, emptied when another tokenizer comes."""
-    kept = _state.get(name)
-    if kept is None or kept[0] != key:
-        kept = _state[name] = (key, {})
-    return kept[1]
-
-
 def look_up(model: Bpe, cache: dict, texts: list[list[str]], make) -> dict:
     """Makes ``cache`` hold every unit of ``texts``; returns it, or a view with units too long
     to keep. ``make`` gives a unit's entry from its ids."""

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinloom.llm.text import encoded, mix, shingles, slices, words
+from kinloom.llm.text import encoded, mix, release_caches, shingles, slices, words
 from kinloom.operators.components import connected_components
 from kinloom.plans.scratch import Scratch, left_join_hot, small
 
@@ -155,6 +155,7 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches):
         import xxhash
 
+        release_caches()
         levels = Levels(percent)
         for batch in batches:
             for a, b in slices(batch.column(2)):
@@ -182,6 +183,7 @@ def segments(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(cid, part, tokens): the shingles of the wanted rows by coarse fragment."""
 
     def run(batches):
+        release_caches()
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 cid, part, found = [], [], []

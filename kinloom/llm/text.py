@@ -7,6 +7,7 @@ process. Two different words of a vocabulary of V words collide with probability
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,26 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+_kept: dict[str, tuple[str, dict]] = {}
+
+
+def worker_cache(name: str, key: str) -> dict:
+    """A dict that this worker process keeps between tasks, emptied when another key comes."""
+    kept = _kept.get(name)
+    if kept is None or kept[0] != key:
+        kept = _kept[name] = (key, {})
+    return kept[1]
+
+
+def release_caches() -> None:
+    """Gives back what earlier operators keep in this worker process. Spark hands a worker from one
+    query to the next, so an operator that keeps nothing itself begins with this."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
