@@ -9,6 +9,9 @@ from kinloom.llm import bpe, dedup, jaccard, mixing, quality
 from kinloom.plans.scratch import Scratch
 from kinloom.plans.ship import ship
 
+#: Entries that encoding remembers in a worker; executors that ran the other stages have less memory left for them.
+KEEP = 250_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -32,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every copy, with the digests of ids and decoded text."""
-    return bpe.encode(docs)
+    return bpe.encode(docs, keep_units=KEEP, keep_seams=KEEP)
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("encode", encode)]

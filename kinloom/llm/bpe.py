@@ -34,6 +34,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Distinct text units that a worker keeps between batches.
 CACHE_UNITS = 800_000
 CACHE_CHARS = 64
+#: Pairs of tokens whose seam a worker remembers.
+CACHE_SEAMS = 1_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -53,7 +55,8 @@ def _byte_letters() -> dict[str, int]:
 class Bpe:
     """A byte-level BPE model with its last-token traversal. Instances are plain data."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep_seams: int = CACHE_SEAMS):
+        self.keep_seams = keep_seams
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, model = _byte_letters(), spec["model"]
@@ -103,7 +106,7 @@ class Bpe:
         """Walks the trie of distinct words depth first. At each word it gives the states along
         its path: the last token after each number of bytes, and the emitted tokens so far."""
         whole, seams, tails = self.whole, self.seams, self.tails
-        if len(seams) > 1_000_000:
+        if len(seams) > self.keep_seams:
             seams.clear()
         last, total, before = [-1], [0], b""
         for word in sorted(words):
@@ -176,10 +179,10 @@ def encode_units(model: Bpe, units: list[str]) -> list[list[int]]:
     return [[t for w in ws for t in coded[w]] for ws in split]
 
 
-def look_up(model: Bpe, cache: dict, texts: list[list[str]], make) -> dict:
+def look_up(model: Bpe, cache: dict, texts: list[list[str]], make, keep: int) -> dict:
     """Makes ``cache`` hold every unit of ``texts``; returns it, or a view with units too long
-    to keep. ``make`` gives a unit's entry from its ids."""
-    if len(cache) > CACHE_UNITS:
+    to keep. ``make`` gives a unit's entry from its ids; above ``keep`` entries it starts anew."""
+    if len(cache) > keep:
         cache.clear()
     new = list({u for units in texts for u in units if u not in cache})
     here = dict(zip(new, map(make, encode_units(model, new)), strict=True))
@@ -199,14 +202,15 @@ class _Both(dict):
         return self.rest[u]
 
 
-def encode(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, ids: bool = True, keep_units: int = CACHE_UNITS, keep_seams: int = CACHE_SEAMS) -> DataFrame:
     """Adds n_tokens, ids_sha256, decoded_sha256 and, if ``ids``, token_ids to (doc_id, text).
 
     Special tokens in a text are encoded as such, no others are added. A null text is empty: no
     tokens, and the hashes are those of the empty string. Each row is encoded by itself, so
     repeated rows repeat; other columns of ``docs`` are left out; an empty table stays empty.
+    ``keep_units`` and ``keep_seams`` bound what a worker remembers: less memory for more time.
     """
-    model = docs.sparkSession.sparkContext.broadcast(Bpe(path or tokenizer_path()))
+    model = docs.sparkSession.sparkContext.broadcast(Bpe(path or tokenizer_path(), keep_seams))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if ids else "")
 
     def run(batches):
@@ -223,7 +227,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFr
                 texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
                 # of each text the special tokens as strings, the rest as lists of units
                 cut = [[p if special else units_of(p) for p, special in _cut(bpe, t)] for t in texts]
-                known = look_up(bpe, cache, [p for pieces in cut for p in pieces if isinstance(p, list)], make)
+                known = look_up(bpe, cache, [p for pieces in cut for p in pieces if isinstance(p, list)], make, keep_units)
                 rows = []
                 for pieces in cut:
                     got = []
