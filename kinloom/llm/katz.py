@@ -13,8 +13,8 @@ for its distinct words, then each history range for its distinct bigrams, and ge
 the order it asked in. What is shuffled is compressed arrays of distinct n-grams per block, never
 a row per token. The n-gram tables are written partitioned by kind: replies and model.
 
-A history with more than ``hot`` occurrences is spread over ranges by its next word; there are at
-most 5,000 such histories, and only their sums are gathered.
+A history with more than ``hot`` occurrences is spread over ranges by its next word, and every range
+gives its sums; there are at most 5,000 such histories, and only their added sums are gathered.
 
 Texts: A-Z lower-cased, words [^\\x20\\x09-\\x0D]+ and one end token each. A null or blank text is
 its end token alone. Rows whose crc32 of doc_id falls into the held-out fold are only scored; a
@@ -229,7 +229,7 @@ def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[start], np.diff(np.append(start, len(h)))
 
 
-def fit(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = BLOCK_BYTES, range_tokens: int = RANGE_TOKENS, scratch: Scratch | None = None) -> dict:
+def fit(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = BLOCK_BYTES, range_tokens: int = RANGE_TOKENS, scratch: Scratch | None = None, hot: int | None = None) -> dict:
     """Blocks, word replies and bigram replies of ``docs``, with the model's global numbers."""
     s = scratch or Scratch(docs.sparkSession)
     spark = docs.sparkSession
@@ -241,7 +241,8 @@ def fit(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = BLOCK_
     totals = [unpack(bytes(r[0])) for r in word.where("kind = 'total'").select("data").collect()]
     n = sum((t[0] for t in totals), np.zeros(KATZ + 3, np.uint64)).astype(np.int64)
     tokens = int(sum(int(t[1][0]) for t in totals))
-    uni, hot = Unigrams(n, tokens), max(200_000, tokens // 5000)
+    uni = Unigrams(n, tokens)
+    hot = max(200_000, tokens // 5000) if hot is None else hot
     replies = word.where("kind = 'reply'").select("block", "part", "data")
 
     def ask(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -253,17 +254,20 @@ def fit(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = BLOCK_
         for p, at in _by_range(_range_of(h, h_count, w, ranges, hot), ranges):
             heads, lengths = _runs(h[at])
             step = np.diff(w[at], prepend=np.uint64(0))
-            step[np.cumsum(lengths) - lengths] = w[at][np.cumsum(lengths) - lengths]
-            rows.append((int(key[0]), p, pack(narrow(heads), narrow(lengths), narrow(step), narrow(own[at]), narrow(w_count[at]))))
+            first = np.cumsum(lengths) - lengths
+            step[first] = w[at][first]
+            apart = ((h_count[at][first] > hot) | (heads == START_ID)).astype(np.uint8)  # histories that _range_of spreads
+            rows.append((int(key[0]), p, pack(narrow(heads), narrow(lengths), narrow(step), narrow(own[at]), narrow(w_count[at]), apart)))
         return pd.DataFrame(rows, columns=["block", "part", "data"])
 
     def read(data: bytes):
-        heads, lengths, step, own, w_count = unpack(data)
+        heads, lengths, step, own, w_count, apart = unpack(data)
         lengths = lengths.astype(np.int64)
         w = np.cumsum(step.astype(np.uint64))  # restart each run at its own first word
         start = np.cumsum(lengths) - lengths
         w -= np.repeat(w[start] - step[start].astype(np.uint64), lengths)
-        return np.repeat(heads.astype(np.uint64), lengths), w, own, w_count
+        heads = heads.astype(np.uint64)
+        return np.repeat(heads, lengths), w, own, w_count, heads[apart > 0]
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         part = int(frame["part"].iloc[0])
@@ -286,8 +290,7 @@ def fit(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = BLOCK_
         sums.append(np.bincount(of, count > KATZ, len(heads)).astype(float))
         sums.append(np.bincount(of, np.where(seen, uni(w_count), 0.0), len(heads)))
         sums = np.stack(sums, 1)
-        heavy = sums[:, :KATZ] @ np.arange(1, KATZ + 1) + sums[:, KATZ] > hot
-        whole = ~heavy & (heads != START_ID)
+        apart = np.isin(heads, np.concatenate([a[4] for a in asked]))
         rows, start = [], 0
         for block, a in zip(frame["block"], asked, strict=True):
             on = index[start : start + len(a[0])]
@@ -303,7 +306,7 @@ def fit(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = BLOCK_
             first = np.cumsum(lengths) - lengths
             step[first] = w[first]
         rows.append(("model", -1, part, pack(narrow(heads), narrow(lengths), narrow(step), narrow(count)), b""))
-        for i in np.flatnonzero(heavy | ~whole):
+        for i in np.flatnonzero(apart):
             rows.append(("history", int(heads[i]), part, b"", sums[i].tobytes()))
         return pd.DataFrame(rows, columns=["kind", "block", "part", "data", "sums"])
 
@@ -313,10 +316,14 @@ def fit(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = BLOCK_
     answered.write.partitionBy("kind").parquet(path)
     pair = spark.read.schema("block long, part long, data binary, sums binary, kind string").parquet(path)
     n2 = sum((unpack(bytes(r[0]))[0] for r in pair.where("kind = 'total'").select("data").collect()), np.zeros(KATZ + 3, np.uint64)).astype(np.int64)
-    # histories spread over ranges: at most 5,000, since each has a 5,000th of the tokens
-    spread: dict[int, np.ndarray] = {}
-    for r in pair.where("kind = 'history'").select("block", "sums").toLocalIterator():
-        spread[r[0]] = spread.get(r[0], 0) + np.frombuffer(bytes(r[1]), float)
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        whole = np.sum([np.frombuffer(x, float) for x in frame["sums"]], axis=0)
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "sums": [whole.tobytes()]})
+
+    # histories spread over ranges, each range's sums added: at most 5,000, since each has a 5,000th of the tokens
+    apart = pair.where("kind = 'history'").select("block", "sums").groupBy("block").applyInPandas(add, "block long, sums binary")
+    spread = {r[0]: np.frombuffer(bytes(r[1]), float) for r in apart.toLocalIterator()}
     return {"blocks": b, "words": replies, "pairs": pair, "unigrams": uni, "d": discounts(n2), "spread": spread, "ranges": ranges, "hot": hot, "tokens": tokens, "path": path}
 
 

@@ -199,6 +199,40 @@ def test_katz(docs):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("bound", [5, 60])
+def test_katz_hot_histories(docs, bound):
+    """Histories spread over ranges have the backoff weights of all their counts, also where each range has fewer than the bound."""
+    tok = lambda t: [*(t or "").encode().lower().split(), "END"]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    uni, pair = Counter(), Counter()
+    for r in ROWS:
+        t = tok(r[1]) if not held(r[0]) else []
+        uni.update(t)
+        pair.update(zip(["START", *t], t, strict=False))
+    n_of = lambda c: np.array([0] + [sum(min(v, 7) == r for v in c.values()) for r in range(1, 8)])
+    n = sum(uni.values())
+    model, d = katz.Unigrams(n_of(uni), n), katz.discounts(n_of(pair))
+    low = {w: float(model(np.array([c]))[0]) for w, c in uni.items()}
+    less = lambda c: d[c] * c if c <= katz.KATZ else c - katz.LOSS
+    after = defaultdict(dict)
+    for (h, w), c in pair.items():
+        after[h][w] = c
+    total = {h: sum(x.values()) for h, x in after.items()}
+    alpha = {h: (1 - sum(map(less, x.values())) / total[h]) / (1 - sum(low[w] for w in x)) for h, x in after.items()}
+
+    def p(h, w):
+        c = after.get(h, {}).get(w, 0)
+        return less(c) / total[h] if c else alpha.get(h, 1.0) * low.get(w, model.rest)
+
+    hot = [h for h in after if uni[h] > bound]
+    assert len(hot) > 20 and all(sum(p(h, w) for w in uni) + p(h, None) == pytest.approx(1) for h in hot)
+    fitted = katz.fit(docs, block_bytes=3000, range_tokens=300, hot=bound)
+    assert fitted["ranges"] > 3
+    want = sorted((str(r[0]), round(sum(math.log10(p(h, w)) for t in [tok(r[1])] for h, w in zip(["START", *t], t, strict=False)), 6)) for r in ROWS)
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in katz.score(fitted).collect()) == want
+    assert len(fitted["spread"]) == len(hot) + 1
+
+
 @pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
 def test_jaccard(spark, k, percent):
     def edit(w, n):
