@@ -6,8 +6,9 @@ of a language - by Jensen-Shannon distance (base 2, square root, 0 to 1). A docu
 if it is far from its language's reference, or from every reference where it has none of its own.
 Histograms below a minimum length say nothing and reject nothing.
 
-References are sums over all documents. Languages with at least a thousandth of the documents
-have one, so there are at most 1,000, which is what makes them safe to broadcast.
+References are sums over all documents, and every language has one. Those of the 1,000 languages
+with most documents are broadcast; documents of the others, each with less than a thousandth of
+all documents, are joined with their reference by language.
 
 Nulls: a null text has no words and fails the base rules; a null lang has no reference of its own;
 a null doc_id is carried. Rows are judged one by one, so repeated rows repeat; an empty table
@@ -16,11 +17,16 @@ stays empty; other columns of the input are not carried by ``judge``.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.plans.scratch import Scratch, small
 
+#: Languages whose references are broadcast.
+WIDE = 1000
+
 BLANKS = " \t\n\x0b\x0c\r"
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -107,29 +113,48 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
-def references(feat: DataFrame, least_share: float = 0.001) -> DataFrame:
-    """One row per language with enough documents: (lang, ref_chars, ref_commons), shares."""
-    n = feat.count()
+def references(feat: DataFrame) -> DataFrame:
+    """One row per language: (lang, docs, ref_chars, ref_commons), shares."""
     bins = lambda c, k: [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for i in range(k)]
     k_chars, k_words = len(CLASSES) + 1, len(common_words()) + 1
     full = feat.where("lang is not null").withColumn("commons", with_rest("commons", F.col("n_words")))
     out = full.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *bins("chars", k_chars), *bins("commons", k_words))
-    out = out.where(F.col("docs") >= max(1, n * least_share))
 
     def parts(c: str, k: int) -> Column:
         total = sum((F.col(f"{c}{i}") for i in range(k)), F.lit(0.0))
         return F.array(*[F.try_divide(F.col(f"{c}{i}"), total) for i in range(k)])
 
-    return out.select("lang", parts("chars", k_chars).alias("ref_chars"), parts("commons", k_words).alias("ref_commons"))
+    return out.select("lang", "docs", parts("chars", k_chars).alias("ref_chars"), parts("commons", k_words).alias("ref_commons"))
+
+
+def _with_rare(d: DataFrame, refs: DataFrame, table: DataFrame, pairs: Sequence[tuple[str, str, str]], nearest: Callable[[str, str], Column], wide: int) -> DataFrame:
+    """The distances of ``d`` where more languages have a reference than ``table`` holds.
+
+    A document without a language meets all rare references, ``wide`` to a row."""
+    rare = refs.join(F.broadcast(table)).where(F.try_element_at("refs", "lang").isNull()).select("lang", "ref_chars", "ref_commons")
+    foreign, known = F.col("lang").isNotNull() & F.col("own").isNull(), F.col("lang").isNull() | F.col("own").isNotNull()
+    far = d.where(foreign).drop("own").join(rare.select("lang", F.struct("ref_chars", "ref_commons").alias("own")), "lang")
+    near = d.where(known)
+    for name, p, ref in pairs:
+        far, near = far.withColumn(name, nearest(p, ref)), near.withColumn(name, nearest(p, ref))
+    chunks = rare.groupBy(F.expr(f"pmod(xxhash64(lang), {-(-rare.count() // wide)})").alias("chunk")).agg(F.collect_list(F.struct("ref_chars", "ref_commons")).alias("more"))
+    least = lambda p, ref: F.min(F.array_min(F.transform("more", lambda r: distance(F.col(p), r[ref]))))
+    more = d.where("lang is null").select("uid", "p_chars", "p_words").crossJoin(chunks.select("more"))
+    more = more.groupBy("uid").agg(*[least(p, ref).alias(f"more_{name}") for name, p, ref in pairs])
+    near = near.join(more, "uid", "left")
+    for name, _, _ in pairs:
+        near = near.withColumn(name, F.least(name, f"more_{name}")).drop(f"more_{name}")
+    return near.unionByName(far)
 
 
-def judge(docs: DataFrame, max_chars: float = 0.335, max_commons: float = 0.26, min_letters: int = 200, min_words: int = 150, scratch: Scratch | None = None) -> DataFrame:
+def judge(docs: DataFrame, max_chars: float = 0.335, max_commons: float = 0.26, min_letters: int = 200, min_words: int = 150, wide: int = WIDE, scratch: Scratch | None = None) -> DataFrame:
     """Base counts, both distances and the verdict of every document."""
     s = scratch or Scratch(docs.sparkSession)
     feat = s.table(features(docs), "features")
-    refs = references(feat)
-    table = refs.agg(F.map_from_entries(F.collect_list(F.struct("lang", F.struct("ref_chars", "ref_commons")))).alias("refs"))
-    table = s.table(table, "references")  # one row, of at most 1,000 languages
+    refs = s.table(references(feat), "references")
+    common = refs.orderBy(F.desc("docs"), "lang").limit(wide)
+    as_map = F.map_from_entries(F.collect_list(F.struct("lang", F.struct("ref_chars", "ref_commons"))))
+    table = s.table(common.agg(as_map.alias("refs")), "common")  # one row
     d = feat.join(F.broadcast(table))
     d = d.withColumn("own", F.try_element_at("refs", "lang"))
     # totals and shares are columns of their own, so that no lambda sums them again
@@ -141,7 +166,12 @@ def judge(docs: DataFrame, max_chars: float = 0.335, max_commons: float = 0.26,
         any_ref = F.array_min(F.transform(F.map_values("refs"), lambda r: distance(F.col(p), r[ref])))
         return F.when(F.col(p).isNull(), None).when(F.col("own").isNotNull(), distance(F.col(p), F.col("own")[ref])).otherwise(any_ref)
 
-    d = d.withColumn("char_distance", nearest("p_chars", "ref_chars")).withColumn("word_distance", nearest("p_words", "ref_commons"))
+    pairs = (("char_distance", "p_chars", "ref_chars"), ("word_distance", "p_words", "ref_commons"))
+    if refs.count() <= wide:
+        for name, p, ref in pairs:
+            d = d.withColumn(name, nearest(p, ref))
+    else:
+        d = _with_rare(d, refs, table, pairs, nearest, wide)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     far = F.coalesce(F.col("char_distance") > max_chars, F.lit(False)) | F.coalesce(F.col("word_distance") > max_commons, F.lit(False))
     d = d.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)

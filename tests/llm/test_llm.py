@@ -287,6 +287,21 @@ def test_quality_verdicts_follow_labels(spark):
     assert got[got.quality == 1].kept.mean() > 0.99 and got[got.quality == 0].kept.mean() < 0.3
 
 
+@pytest.mark.parametrize("wide", [quality.WIDE, 1])
+def test_quality_keeps_clean_documents_of_rare_languages(spark, wide):
+    """Two Russian documents among 2,500 are judged by their own reference, broadcast or joined by language."""
+    r = random.Random(3)
+    english = [x for x in quality.COMMON["en"].split()] + [f"{a}{b}ing" for a in "bcdfgl" for b in ("end", "old", "ark")]
+    russian = "и в не на я быть он с что а по это она этот к но они мы весь который из у ты".split()
+    make = lambda v: " ".join(f"{r.choice(v)}{r.randrange(10, 99) if r.random() < 0.02 else ''}" for _ in range(200))
+    rows = [(i, make(english), "en") for i in range(2500)] + [(3000, make(russian), "ru"), (3001, make(russian), "ru"), (3002, make(russian), None), (3003, make(english), None), (3004, "@" * 900 + " a b" * 100, None)]
+    frame = Scratch(spark).table(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    got = {x.doc_id: x for x in quality.judge(frame, wide=wide).collect()}
+    assert len(got) == len(rows) and all(got[i].kept for i in range(2500))
+    assert [got[i].kept for i in range(3000, 3005)] == [True, True, True, True, False]
+    assert all(got[i].char_distance < 0.1 and got[i].word_distance < 0.1 for i in (3000, 3001, 3002))
+
+
 def test_distance(spark):
     one = spark.range(1).select(quality.distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))).alias("far"), quality.distance(F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.5), F.lit(0.5))).alias("same")).first()
     assert one.far == pytest.approx(1) and one.same == 0
