@@ -140,6 +140,20 @@ def test_url_rules_and_propagation(spark):
     assert all(got[20 + i].verdict == "block" for i in range(3)) and all(got[50 + i].verdict == "allow" for i in range(60))
 
 
+@pytest.mark.parametrize("n", [1, 4, 50, 1000])
+def test_url_distrust_does_not_fall_with_linkers(spark, n):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/x">' for h in hosts)
+    rows = [(i, f"http://h{i}.info/", link("bad.com")) for i in range(n)] + [(2000, "http://bad.com/en/x", ""), (2001, "http://far.info/", link("h0.info"))]
+    rows += [(2002, "http://mixed.info/", link("bad.com", *[f"clean{i}.info" for i in range(9)])), (2003, "http://good.example.com/en/7", link("friend.info")), (2004, "http://friend.info/", link("bad.com"))]
+    rows += [(3000 + i, f"http://clean{i}.info/", "") for i in range(9)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].verdict == "block" and got[i].host_distrust == pytest.approx(0.85) for i in range(n))
+    assert got[2001].verdict == "block" and got[2001].host_distrust == pytest.approx(0.85**2)
+    assert got[2002].verdict == "allow" and got[2002].host_distrust == pytest.approx(0.085)
+    assert got[2004].verdict == "allow" and got[2004].host_trust == pytest.approx(0.85)
+    assert all(got[3000 + i].verdict == "allow" for i in range(9))
+
+
 def norm(t):
     return re.sub("[\x20\x09-\x0d]", "", t or "")
 
