@@ -9,6 +9,7 @@ from kinloom.functions.normalize import normaliser
 from kinloom.operators import resolve
 from kinloom.operators.components import connected_components
 from kinloom.operators.keys import aliases
+from kinloom.plans import catalogue
 
 ALIASES = [
     (1, "Jürgen Müller", "j.mueller@firm.de"), (2, "Juergen Mueller", "juergen@home.org"), (3, "Ana Quill", "ana.quill@a.org"), (4, "aquill", "ANA.QUILL@a.org"),
@@ -84,3 +85,14 @@ def test_line_errors(spark):
 def test_packages_stand_without_the_llm_subpackage():
     root = Path(resolve.__file__).resolve().parents[1]
     assert not [f for f in root.rglob("*.py") if "llm" not in f.parts and "kinloom.llm" in f.read_text()]
+
+
+def test_text_queries_read_whole_texts(spark, tmp_path):
+    long = "plain words " * 100
+    texts = [long, long + "é", "é" + long, long + "\x01", "", "a", "Ωλ" * 300, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: dict(catalogue.queries()[n](spark, str(tmp_path)).collect()) for n in ("ill_encoded", "utf8_filter")}
+    marks = ["\ufffd", *T.MOJIBAKE, *map(chr, [*range(9), 11, 12, *range(14, 32)])]
+    assert got["ill_encoded"] == {i: any(m in (t or "").encode().decode("latin-1") for m in marks) for i, t in enumerate(texts)}
+    assert [got["ill_encoded"][i] for i in range(4)] == [False, True, True, True]
+    assert got["utf8_filter"] == {i: None if t is None else i % 4 == 3 for i, t in enumerate(texts)}
