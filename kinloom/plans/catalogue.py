@@ -228,8 +228,9 @@ def utf8_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alias_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = alias_view(spark, sf_dir).where("uid % 3 < 2")
-    line = F.when(F.col("uid") % 3 == 0, T.signature(F.col("name"), F.col("email"))).otherwise(F.concat("name", F.lit(";"), "email"))
+    """All aliases, in the three forms of lines by turns."""
+    v, form = alias_view(spark, sf_dir), F.col("uid") % 3
+    line = F.when(form == 0, T.signature(F.col("name"), F.col("email"))).when(form == 1, F.concat("name", F.lit(";"), "email")).otherwise(F.concat("name", F.lit(" "), "email"))
     return parsers.parse_aliases(v.select(F.col("uid").alias("pos"), line.alias("value")))
 
 

@@ -96,3 +96,17 @@ def test_text_queries_read_whole_texts(spark, tmp_path):
     assert got["ill_encoded"] == {i: any(m in (t or "").encode().decode("latin-1") for m in marks) for i, t in enumerate(texts)}
     assert [got["ill_encoded"][i] for i in range(4)] == [False, True, True, True]
     assert got["utf8_filter"] == {i: None if t is None else i % 4 == 3 for i, t in enumerate(texts)}
+
+
+def test_alias_file_reads_all_aliases(spark, tmp_path):
+    names = ["Ann Lee", "Bo Ek", "Cy Dow", "Ann Lee", "", "", "", "Eve", "Fay", "Gil Orr"]
+    rows = [(i, n and f"{n} 7", "s", "en") for i, n in enumerate(names)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, n in enumerate(names):
+        alias = (n, n.lower().replace(" ", ".") + "@s.example.en")
+        # without a name only "name;email" lines are an alias
+        if (n or (i + 1) % 3 == 1) and alias not in want:
+            want.append(alias)
+    got = sorted((r.uid, r.name, r.email) for r in catalogue.queries()["alias_file"](spark, str(tmp_path)).collect())
+    assert got == [(i + 1, *a) for i, a in enumerate(want)] and len(got) == 7
