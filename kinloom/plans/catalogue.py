@@ -341,7 +341,7 @@ def queries() -> dict[str, Query]:
         "merge_reason": on(lambda s, d: group_view(s, d).withColumn("cluster", F.col("cluster").cast("string")), evaluate.merge_reasons),
         "eval_summary": on(group_view, lambda x: evaluate.summary(evaluate.per_group(x))),
         "ci_normal": lambda s, d: evaluate.t_intervals(tall(s, d)),
-        "ci_bootstrap": lambda s, d: evaluate.bootstrap_intervals(tall(s, d), 1000),
+        "ci_bootstrap": lambda s, d: evaluate.bootstrap_intervals(tall(s, d)),
         "cluster_size_dist": on(group_view, evaluate.cluster_sizes),
         "noreply_users": on(nor, lambda x: describe.noreply_users(x).select("author", "username", "plain").distinct()),
         "numeric_ids": on(nor, lambda x: describe.numeric_ids(describe.noreply_users(x))),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from kinloom.config import Config, parse_config
 from kinloom.functions import text as T
 from kinloom.functions.normalize import normaliser
-from kinloom.operators import resolve
+from kinloom.operators import evaluate, resolve
 from kinloom.operators.components import connected_components
 from kinloom.operators.keys import aliases
 from kinloom.plans import catalogue
@@ -110,3 +110,14 @@ def test_alias_file_reads_all_aliases(spark, tmp_path):
             want.append(alias)
     got = sorted((r.uid, r.name, r.email) for r in catalogue.queries()["alias_file"](spark, str(tmp_path)).collect())
     assert got == [(i + 1, *a) for i, a in enumerate(want)] and len(got) == 7
+
+
+def test_bootstrap_query_draws_all_resamples(spark, monkeypatch):
+    real, seen = evaluate.bootstrap_intervals, []
+
+    def spy(long, resamples=10_000, *a):
+        seen.append(resamples)
+        return real(long, 20)
+
+    monkeypatch.setattr(evaluate, "bootstrap_intervals", spy)
+    assert catalogue.queries()["ci_bootstrap"](spark, "/root/testdata/sf0.001").count() > 0 and seen == [10_000]
