@@ -121,3 +121,10 @@ def test_bootstrap_query_draws_all_resamples(spark, monkeypatch):
 
     monkeypatch.setattr(evaluate, "bootstrap_intervals", spy)
     assert catalogue.queries()["ci_bootstrap"](spark, "/root/testdata/sf0.001").count() > 0 and seen == [10_000]
+
+
+def test_email_blocks_above_the_cap_are_stars(spark, tmp_path):
+    rows = [(i, "one two", "big", "en") for i in range(41)] + [(100 + i, "one two", "few", "en") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.a, r.b) for r in catalogue.queries()["rule_email"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1 + i) for i in range(1, 41)} | {(101 + i, 101 + j) for j in range(40) for i in range(j)}
