@@ -17,7 +17,7 @@ TIMEZONES = "gmt bst cet cest utc pst pdt est edt mst mdt cst cdt ist jst aest a
 YEARS = [r"\b19\d{2}\b", r"\b20\d{2}\b"]
 PUNCTUATION = r"""[.,:;!?'"()\[\]{}/@#$%^&*+=|\\<>~`\-_]"""
 GERMAN_DOMAINS = ".de .at .ch .lu .li .be .it .se .dk".split()
-MOJIBAKE = ["Â", "â€", *["Ã" + c for c in "¡©­³º¢ª®´»£±§¤¶¼Ÿ"]]
+MOJIBAKE = ["Â", "â€", "Ã¡", "Ã©", "Ã­", "Ã³", "Ãº", "Ã¢", "Ãª", "Ã®", "Ã´", "Ã»", "Ã£", "Ã±", "Ã§", "Ã¤", "Ã¶", "Ã¼", "ÃŸ"]
 FAKE_ENDINGS = ("@server.fake", "@server.com", "@example.com", "@email.com")
 QUOTES = "\"'`´‘’“”„"
 
