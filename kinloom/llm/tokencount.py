@@ -1,147 +1,277 @@
 """Token counts by a compiled finite-state tokenizer.
 
-The transducer reads a pre-token's bytes; its states are the prefixes read so far, and each
-transition carries the change in the number of emitted tokens, so a pre-token's count is the sum
-along its path. States are compiled as words need them, in the depth-first order of their trie.
-
-A text is read in chunks. A chunk's state map is (head, count, tail): the fragment before its
-first certain pre-token border, the tokens emitted between its borders, and the fragment after its
-last one; a chunk without a border is one fragment. Maps compose associatively - the seam's two
-fragments join and are read as one - so a text's maps are scanned as a balanced tree.
+The transducer reads a text character by character, without looking ahead. Whatever has been read,
+the sum of its transitions' annotations is the number of tokens of the text up to there. A state is
+
+* what the pre-tokenizer knows: in a run of letters, of digits or of other marks, after an
+  apostrophe that may begin a contraction, after a contraction, or in white space, whose last
+  character is kept apart since it may belong to the next pre-token, and
+* the last-token state of the open pre-token: for each of its last bytes that a longer token may
+  begin with, the last token before them and the tokens emitted since. A byte's transition picks
+  the longest token that may end there, so its annotation is one less the tokens that it takes back.
+
+Both are finite: tokens have a greatest length. States and transitions are compiled when a text first
+needs them; a transition over several characters is the composition of theirs and is kept as well.
+
+Texts longer than ``chunk`` characters are read in chunks, each a row that any task may take. A
+chunk's state map, state -> (state, count), has three parts: ``head``, the text up to the first white
+space after another character, where all states meet; ``body``, the count from there on; ``tail``, the
+text from the last such place, which leads the initial state to the chunk's last one. In a chunk where
+states don't meet, all of it is head and body is null. A special token is a map too: it counts one and
+leads every state to the initial one. Maps compose associatively, and a text's maps are composed as a
+balanced tree; a value holds at most 2 GB, so a text has at most 2 GB / ``chunk`` maps of a few words
+each. Only a text without white space keeps its heads, and then one task reads all of that text.
 """
 
 from __future__ import annotations
 
-import re
-
+import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.bpe import CACHE_CHARS, CACHE_UNITS, Bpe, regex, tokenizer_path, worker_cache, PATTERN, _cut
-from kinloom.llm.text import slices
+from kinloom.llm.bpe import Bpe, _cut, tokenizer_path
+from kinloom.llm.text import slices, worker_cache
 
 #: Characters of a chunk.
 CHUNK = 1 << 16
-#: Certain borders: a blank or line end after a character that is no white space at all.
-_BORDER = re.compile(r"(?<=[^\s\x85])(?=[ \n])")
-_UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_ODD = re.compile(r"[^\S \n]|\x85")
+#: Transitions that a worker keeps; beyond it the machine is compiled anew.
+KEEP_TRANSITIONS = 800_000
+KEEP_CHARS = 48
+#: What follows an apostrophe in a contraction of byte-level BPE's pre-tokenizer.
+SHORT, LONG = "stmd", {"r": "e", "v": "e", "l": "l"}
+#: Stretches that end with blanks, so that they begin in few states.
+_STRETCH = regex.compile(r"[^ \n]*[ \n]+|[^ \n]+")
+#: All states meet after white space that follows another character.
+_MEET = regex.compile(r"(?<=\S)\s")
+_LAST_MEET = regex.compile(r"(?r)(?<=\S)\s")
+_SPACE, _LETTER, _NUMBER = (regex.compile(p) for p in (r"\s", r"\p{L}", r"\p{N}"))
+
+
+class State(dict):
+    """A state and its transitions: text -> (next state, count). ``mode`` is the pre-tokenizer's part, ``tokens``
+    the open pre-token's last-token state, ``held`` the character that white space or a contraction holds."""
+
+    __slots__ = ("machine", "mode", "tokens", "held")
+
+    def __init__(self, machine: Machine, mode: str, tokens: tuple, held: str):
+        self.machine, self.mode, self.tokens, self.held = machine, mode, tokens, held
+
+    def __missing__(self, text: str) -> tuple[State, int]:
+        step = self.machine.step(self, text) if len(text) == 1 else self.machine.read(self, text)
+        if len(text) <= KEEP_CHARS:
+            self.machine.kept += 1
+            self[text] = step
+        return step
 
 
-class Transducer:
-    """Counts of pre-tokens by summed transitions."""
+class Machine:
+    """The transducer of a byte-level BPE model."""
 
     def __init__(self, model: Bpe):
-        self.bpe = model
-
-    def words(self, words: list[bytes]) -> dict[bytes, int]:
-        """Runs over distinct pre-tokens. The weight of the transition into a state is its token
-        total less its predecessor's, so the weights along a word's path add up to its own total."""
-        return {word: total[-1] for word, _, total in self.bpe.walk(words)}
-
-    def compile(self, cache: dict, units: set[str]) -> dict:
-        new = [u for u in units if u not in cache]
-        find = regex.compile(PATTERN).findall
-        split = [[w.encode() for w in find(u)] for u in new]
-        counts = self.words(list({w for ws in split for w in ws}))
-        for u, ws in zip(new, split, strict=True):
-            cache[u] = sum([counts[w] for w in ws])
-        return cache
-
-
-def _parts(text: str) -> list[str]:
-    """Pieces between certain borders, in a text that begins and ends at one."""
-    return _BORDER.split(text) if _ODD.search(text) else _UNIT.findall(text)
-
-
-class StateMap(tuple):
-    """(head, units between the borders or None if there is none, tail)."""
-
-    __slots__ = ()
-
-    @classmethod
-    def of(cls, chunk: str) -> StateMap:
-        first = _BORDER.search(chunk)
-        if not first:
-            return cls((chunk, None, ""))
-        a = first.start()
-        b = a
-        # the last border lies behind the last blank or line end that follows another character
-        for m in _BORDER.finditer(chunk, max(a, len(chunk) - 4096)):
-            b = m.start()
-        if b == a:
-            for m in _BORDER.finditer(chunk, a):
-                b = m.start()
-        return cls((chunk[:a], _parts(chunk[a:b]) if b > a else [], chunk[b:]))
-
-    def then(self, other: StateMap) -> StateMap:
-        """The map of both chunks, in this order. A border can also lie between them."""
-        seam = self[2] if self[1] is not None else self[0]
-        joined = StateMap.of(seam + other[0])
-        left = self if self[1] is not None else StateMap(("", None, ""))
-        units = []
-        head, tail = left[0], other[2]
-        if self[1] is None:  # the seam's first fragment is still open to the left
-            head, rest = joined[0], ([*joined[1], joined[2]] if joined[1] is not None else None)
-            if other[1] is None:
-                return joined
-            return StateMap((head, [*rest, *other[1]], tail)) if rest is not None else StateMap((head, other[1], tail))
-        units = list(left[1])
-        if joined[1] is None:
-            if other[1] is None:
-                return StateMap((head, units, joined[0]))
-            return StateMap((head, [*units, joined[0], *other[1]], tail))
-        units += [joined[0], *joined[1]]
-        if other[1] is None:
-            return StateMap((head, units, joined[2]))
-        return StateMap((head, [*units, joined[2], *other[1]], tail))
-
-    def units(self) -> list[str]:
-        """All units, once nothing more comes on either side."""
-        return [u for u in (self[0], *(self[1] or ()), self[2]) if u]
-
-
-def scan(maps: list[StateMap]) -> StateMap:
-    """Composition of consecutive chunks as a balanced tree."""
-    while len(maps) > 1:
-        maps = [maps[i].then(maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0] if maps else StateMap(("", None, ""))
+        self.model = model
+        self.begins = {t[:i] for t in model.whole for i in range(1, len(t))}
+        self.states: dict[tuple, State] = {}
+        self.kept = 0
+        #: No token yet: any token may begin here.
+        self.none = ((b"", -1, 0),)
+        self.start = self.state("closed", self.none)
+
+    def state(self, mode: str, tokens: tuple, held: str = "") -> State:
+        key = mode, tokens, held
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State(self, mode, tokens, held)
+        return found
+
+    def forget(self) -> None:
+        """Drops all states, if more transitions are kept than a worker should hold."""
+        if self.kept > KEEP_TRANSITIONS:
+            for s in self.states.values():
+                s.clear()
+            self.states, self.kept = {}, 0
+            self.start = self.state("closed", self.none)
+        if len(self.model.seams) > self.model.keep_seams:
+            self.model.seams.clear()
+
+    def feed(self, tokens: tuple, text: str) -> tuple[tuple, int]:
+        """The last-token state after ``text`` in the same pre-token, and the change of its count."""
+        whole, begins, apart = self.model.whole, self.begins, self.model.apart
+        seams, count = self.model.seams, 0
+        for b in text.encode():
+            byte = bytes((b,))
+            for seen, last, since in tokens:  # longest first
+                token = whole.get(seen + byte)
+                if token is None:
+                    continue
+                if last < 0:
+                    break
+                ok = seams.get((last, token))
+                if ok is None:
+                    ok = seams[last, token] = apart(last, token)
+                if ok:
+                    break
+            more = 1 - since
+            tokens = (*[(seen + byte, last, since + more) for seen, last, since in tokens if seen + byte in begins], (b"", token, 0))
+            count += more
+        return tokens, count
+
+    def fresh(self, ch: str, before: str = "") -> tuple[State, int]:
+        """The state after a pre-token's first character, which no white space is, and its count.
+        ``before`` is the blank that the pre-token takes in."""
+        mode = "letters" if _LETTER.match(ch) else "numbers" if _NUMBER.match(ch) else "apostrophe" if ch == "'" and not before else "marks"
+        tokens, n = self.feed(self.none, before + ch)
+        return self.state(mode, tokens), n
+
+    def step(self, s: State, ch: str) -> tuple[State, int]:
+        """One character's transition."""
+        mode, tokens = s.mode, s.tokens
+        if _SPACE.match(ch):
+            if mode != "space":
+                return self.state("space", self.none, ch), self.feed(self.none, ch)[1]
+            run, _ = self.feed(tokens, s.held)
+            return self.state("space", run, ch), self.feed(run, ch)[1]
+        if mode == "space":
+            back = -self.feed(tokens, s.held)[1]  # the held character leaves the run
+            if s.held == " ":
+                to, n = self.fresh(ch, " ")
+                return to, n + back
+            alone = self.feed(self.none, s.held)[1]
+            to, n = self.fresh(ch)
+            return to, n + alone + back
+        if mode == "short":  # an apostrophe, and a letter that may go on to a contraction
+            if LONG[s.held] == ch:
+                apostrophe, n = self.feed(self.none, "'")
+                return self.state("closed", self.none), self.feed(apostrophe, s.held + ch)[1] - self.feed(self.none, s.held)[1]
+            mode = "letters"
+        if mode == "apostrophe":
+            if ch in SHORT:
+                return self.state("closed", self.none), self.feed(tokens, ch)[1]
+            if ch in LONG:
+                letter, n = self.feed(self.none, ch)
+                return self.state("short", letter, ch), n
+            mode = "marks"
+        kind = "letters" if _LETTER.match(ch) else "numbers" if _NUMBER.match(ch) else "marks"
+        if kind == mode:
+            more, n = self.feed(tokens, ch)
+            return self.state(mode, more), n
+        return self.fresh(ch)
+
+    def read(self, s: State, text: str) -> tuple[State, int]:
+        """From a state over a text: (state, count)."""
+        n = 0
+        for ch in text:
+            s, more = s[ch]
+            n += more
+        return s, n
+
+    def run(self, s: State, text: str) -> tuple[State, int]:
+        """As ``read``, by kept compositions."""
+        n = 0
+        for part in _STRETCH.findall(text):
+            s, more = s[part]
+            n += more
+        return s, n
 
 
-def text_units(text: str, chunk: int = CHUNK) -> list[str]:
-    if len(text) <= chunk:
-        return _parts(text) if text else []
-    return scan([StateMap.of(text[i : i + chunk]) for i in range(0, len(text), chunk)]).units()
+#: The state map of a special token.
+SPECIAL = ("", 1, "")
+#: That of an empty text.
+EMPTY = ("", None, "")
+
+
+def map_of(m: Machine, text: str) -> tuple[str, int | None, str]:
+    """The state map (head, body, tail) of a text."""
+    meet = _MEET.search(text)
+    if not meet:
+        return text, None, ""
+    at = meet.end()
+    last = _LAST_MEET.search(text).start()
+    return text[:at], m.run(m.run(m.start, text[at - 1 : at])[0], text[at:])[1], text[last:]
+
+
+def then(m: Machine, a: tuple, b: tuple) -> tuple[str, int | None, str]:
+    """The map of ``a``'s text followed by ``b``'s."""
+    if a[1] is None:  # a's states haven't met: its text is all there
+        head, body, tail = map_of(m, a[0] + b[0])
+        if b[1] is None:
+            return head, body, tail
+        return head, (body or 0) + b[1], b[2]
+    body = a[1] + m.run(m.run(m.start, a[2])[0], b[0])[1]
+    if b[1] is not None:
+        return a[0], body + b[1], b[2]
+    tail = a[2] + b[0]
+    last = _LAST_MEET.search(tail)
+    return a[0], body, tail[last.start() :] if last else tail
+
+
+def total(m: Machine, a: tuple) -> int:
+    """The count from the initial state."""
+    return m.run(m.start, a[0])[1] + (a[1] or 0)
+
+
+def compose(m: Machine, maps: list[tuple]) -> tuple[str, int | None, str]:
+    """The map of consecutive maps, as a balanced tree."""
+    while len(maps) > 1:
+        maps = [then(m, maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0] if maps else EMPTY
 
 
 def count(docs: DataFrame, path: str | None = None, limit: int = 512, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every text.
 
-    Special tokens in a text count as one token. A null text is empty and has none. Rows are
-    counted one by one: repeated ones repeat, an empty table stays empty, other columns go.
+    Special tokens in a text count as one token. A null text is empty and has none; a null doc_id is
+    carried. Texts of more than ``chunk`` bytes are spread over tasks as chunks, whatever their length; the
+    result is the same for any ``chunk``. Rows are counted one by one: repeated ones repeat, an empty
+    table stays empty, other columns go, whatever their names.
     """
     model = docs.sparkSession.sparkContext.broadcast(Bpe(path or tokenizer_path()))
 
-    def run(batches):
-        bpe = model.value
-        machine, cache = Transducer(bpe), worker_cache("count", bpe.key)
+    def machine() -> Machine:
+        kept = worker_cache("count", model.value.key)
+        if "machine" not in kept:
+            kept["machine"] = Machine(model.value)
+        kept["machine"].forget()
+        return kept["machine"]
+
+    def whole(batches):
         for batch in batches:
-            column = batch.column(1)
+            column = batch.column(2)
             for a, b in slices(column, 4 << 20):
-                counts, units, special = [], [], []
+                m, counts = machine(), []
                 for t in column.slice(a, b - a).to_pylist():
-                    cut = _cut(bpe, t) if t else []
-                    special.append(sum(1 for _, s in cut if s))
-                    units.append([u for p, s in cut if not s for u in text_units(p, chunk)])
-                if len(cache) > 2 * CACHE_UNITS:
-                    cache.clear()
-                known = machine.compile(cache, {u for us in units for u in us})
-                for us, n in zip(units, special, strict=True):
-                    counts.append(n + sum(map(known.__getitem__, us)))
-                for u in [u for us in units for u in us if len(u) > CACHE_CHARS]:
-                    cache.pop(u, None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(coalesce(octet_length(text), 0) as long) n_bytes")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+                    counts.append(sum(1 if special else m.run(m.start, piece)[1] for piece, special in _cut(m.model, t)) if t else 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+
+    def cut(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                serial, uid, doc_id, n_bytes = 0, *(batch.column(k)[i].as_py() for k in range(3))
+                for piece, special in _cut(model.value, batch.column(3)[i].as_py()):
+                    for at in range(0, len(piece), len(piece) if special else chunk):
+                        part = [pa.array([x], t) for x, t in ((uid, pa.int64()), (doc_id, pa.int64()), (n_bytes, pa.int64()), (serial, pa.int64()), (special, pa.bool_()), (None if special else piece[at : at + chunk], pa.string()))]
+                        yield pa.RecordBatch.from_arrays(part, ["uid", "doc_id", "n_bytes", "serial", "special", "piece"])
+                        serial += 1
+
+    def mapped(batches):
+        for batch in batches:
+            m = machine()
+            maps = [SPECIAL if special else map_of(m, piece) for special, piece in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            columns = [pa.array([x[i] for x in maps], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], *columns], ["uid", "doc_id", "n_bytes", "serial", "head", "body", "tail"])
+
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        m, frame = machine(), frame.sort_values("serial")
+        maps = [(h, None if b != b or b is None else int(b), t) for h, b, t in zip(frame["head"], frame["body"].astype(object), frame["tail"], strict=True)]
+        return pd.DataFrame({"doc_id": frame["doc_id"].iloc[:1].astype("Int64"), "n_bytes": frame["n_bytes"].iloc[:1], "n_tokens": [total(m, compose(m, maps))]})
+
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("n_bytes", size)
+    schema = "doc_id long, n_bytes long, n_tokens long"
+    short = rows.where(F.col("n_bytes") <= chunk).select("doc_id", "n_bytes", "text").mapInArrow(whole, schema)
+    long = rows.where(F.col("n_bytes") > chunk).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "n_bytes", "text")
+    chunks = long.mapInArrow(cut, "uid long, doc_id long, n_bytes long, serial long, special boolean, piece string").repartition("uid", "serial")
+    maps = chunks.mapInArrow(mapped, "uid long, doc_id long, n_bytes long, serial long, head string, body long, tail string")
+    out = short.unionByName(maps.groupBy("uid").applyInPandas(joined, schema))
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)

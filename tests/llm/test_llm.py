@@ -131,6 +131,38 @@ def test_bpe_and_counts_match_the_library(docs):
         assert counts[r.doc_id].n_bytes == len((r.text or "").encode()) and counts[r.doc_id].over_limit == (len(ids) > 512)
 
 
+def test_state_maps_compose_associatively(spark):
+    """Any bracketing of any chunks is the same function of the entry state, and counts as the library does."""
+    tokenizers = pytest.importorskip("tokenizers")
+    tok, m, r = tokenizers.Tokenizer.from_file(bpe.tokenizer_path()), tokencount.Machine(bpe.Bpe(bpe.tokenizer_path())), random.Random(5)
+    marks = ["a", "'s", "'ll", "'", "r", "v", "e", "l", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "é", "1", "$", "aaaa", "\U0001f600", "the", "İ", "_", "\xa0", "日本"]
+    entries = [m.run(m.start, t)[0] for t in ("", "th", " ", "a \n", "'", "don'", "x'r", "12", "日", "..'")]
+    at = lambda x, q: (lambda h: h[1] + (x[1] or 0))(m.run(q, x[0]))
+    for _ in range(600):
+        parts = ["".join(r.choices(marks, k=r.randrange(8))) for _ in range(4)]
+        a, b, c, d = (tokencount.map_of(m, p) for p in parts)
+        t = lambda x, y: tokencount.then(m, x, y)
+        ways = [t(t(t(a, b), c), d), t(a, t(b, t(c, d))), t(t(a, b), t(c, d)), tokencount.compose(m, [a, b, c, d])]
+        for q in entries:
+            assert {at(w, q) for w in ways} == {m.run(q, "".join(parts))[1]}
+        assert tokencount.total(m, ways[0]) == len(tok.encode("".join(parts), add_special_tokens=False).ids)
+        cut = [a, b, tokencount.SPECIAL, c, d]
+        want = sum(len(tok.encode("".join(p), add_special_tokens=False).ids) for p in (parts[:2], parts[2:])) + 1
+        assert tokencount.total(m, tokencount.compose(m, cut)) == want == tokencount.total(m, t(t(a, t(b, tokencount.SPECIAL)), t(c, d)))
+
+
+def test_token_counts_of_nulls_and_forgotten_states(spark, monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    monkeypatch.setattr(tokencount, "KEEP_TRANSITIONS", 5)
+    tok, m = tokenizers.Tokenizer.from_file(bpe.tokenizer_path()), tokencount.Machine(bpe.Bpe(bpe.tokenizer_path()))
+    for t in BASE[:20]:
+        m.forget()
+        assert m.run(m.start, t)[1] == len(tok.encode(t, add_special_tokens=False).ids)
+    rows = [(None, "a b " * 900, 1), (None, None, 1), (1, "", 2), (1, "x" * 3000, 2), (1, "<|endoftext|>" * 300, 2)]
+    got = tokencount.count(spark.createDataFrame(rows, "doc_id long, text string, uid int"), chunk=1000).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows)
+
+
 def test_url_rules_and_propagation(spark):
     rows = [(1, "http://X.Example.com/en/7?q"), (2, "https://a.com/en/9"), (3, "http://com/en/"), (4, "http://acom/en/"), (5, None), (6, "nothing"), (7, "ftp://b.net/de/8#x"), (8, "http://example.net/de/81")]
     rows = [(i, u, None) for i, u in rows] + [(20 + i, f"http://h{i}.info/", '<a href="http://bad.com/en/x">') for i in range(3)] + [(40, "http://bad.com/en/x", "")] + [(50 + i, f"http://clean{i}.info/", "") for i in range(60)]
