@@ -49,25 +49,21 @@ def common_words() -> list[str]:
     return list(dict.fromkeys(w for words in COMMON.values() for w in words.split()))
 
 
-def _count_of(word: str) -> Column:
-    """Occurrences in ``hits``, a string of common words that are each set between blanks."""
-    mark = f" {word} "
-    return (F.length("hits") - F.length(F.replace("hits", F.lit(mark), F.lit("")))) / len(mark)
-
-
 def features(docs: DataFrame) -> DataFrame:
-    """Base counts and the two histograms of every document, as narrow rows."""
+    """Base counts and the two histograms of every document, as narrow rows.
+
+    Windows of three words are told apart by 64-bit hashes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"))
-    d = d.withColumn("rest", F.translate("text", LOWER, ""))
     d = d.withColumn("words", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     d = d.withColumn("n", F.size("words"))
     # A repeat needs a hash that stands twice, so most texts are done after one distinct.
-    trio = lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
-    d = d.withColumn("trios", F.when(F.col("n") > 2, F.transform(F.sequence(F.lit(0), F.col("n") - 3), trio)))
+    d = d.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    both = lambda x, y: F.xxhash64(x, y)
+    trios = F.zip_with(F.zip_with("hashes", F.slice("hashes", 2, 1 << 30), both), F.slice("hashes", 3, 1 << 30), both)
+    d = d.withColumn("trios", F.when(F.col("n") > 2, F.slice(trios, F.lit(1), F.col("n") - 2)))
     d = d.withColumn("twice", F.size("trios") > F.size(F.array_distinct("trios")))
-    trio_text = lambda i: F.struct(F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("t"), i.alias("i"))
-    ordered = F.array_sort(F.transform(F.sequence(F.lit(0), F.col("n") - 3), trio_text))
+    ordered = F.array_sort(F.transform("trios", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
     d = d.withColumn("ordered", F.when(F.col("twice"), ordered))
     same = lambda x, i: (x["t"] == F.get("ordered", i - 1)["t"]) | (x["t"] == F.get("ordered", i + 1)["t"])
     at = F.array_sort(F.transform(F.filter("ordered", lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"]))
@@ -75,20 +71,27 @@ def features(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(F.transform("at", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("at", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     d = d.withColumn("lines", F.when(F.contains("text", F.lit("\n")), lines))
+    # places of the common words of the text, as they stand or capitalised, in the list
     listed = [x for w in common_words() for x in (w, w.capitalize())]
-    hits = F.array_join(F.filter("words", lambda w: w.isin(listed)), "  ")
-    d = d.withColumn("hits", F.concat(F.lit(" "), F.lower(hits), F.lit(" ")))
+    place = lambda w: F.floor((F.array_position(F.array(*map(F.lit, listed)), w) + 1) / 2)
+    d = d.withColumn("hits", F.transform(F.filter("words", lambda w: w.isin(listed)), place))
+    counts = [F.size("hits") - F.size(F.array_remove("hits", F.lit(i + 1).cast("long"))) for i in range(len(common_words()))]
+    # each class is taken out of what the ones before it have left
+    d = d.withColumn("left_text", F.translate("text", LOWER, ""))
+    left, hist = "left_text", [F.length("text") - F.length("left_text")]
     for name, letters in CLASSES.items():
-        d = d.withColumn(name, F.length("rest") - F.length(F.translate("rest", letters, "")))
-    hist = [F.length("text") - F.length("rest"), *[F.col(c) for c in list(CLASSES)[1:]], F.length("rest") - sum((F.col(c) for c in CLASSES), F.lit(0))]
-    counts = [_count_of(w) for w in common_words()]
+        d = d.withColumn(f"left_{name}", F.translate(left, letters, ""))
+        hist.append(F.length(left) - F.length(f"left_{name}"))
+        left = f"left_{name}"
+    blank, symbol = (hist[1 + list(CLASSES).index(c)] for c in ("blank", "symbol"))
+    hist = [h for h in hist if h is not blank] + [F.length(left)]
     return d.select(
         "uid",
         "doc_id",
         "lang",
         F.col("n").cast("long").alias("n_words"),
-        (F.length("text") - F.col("blank")).cast("long").alias("word_chars"),
-        F.col("symbol").cast("long").alias("n_symbols"),
+        (F.length("text") - blank).cast("long").alias("word_chars"),
+        symbol.cast("long").alias("n_symbols"),
         F.coalesce(F.size("lines") - F.size(F.array_distinct("lines")), F.lit(0)).cast("long").alias("n_dup_lines"),
         F.when(F.col("twice"), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array(*[h.cast("double") for h in hist]).alias("chars"),
