@@ -17,14 +17,19 @@ from pyspark.sql import functions as F
 
 #: Rows of a few fields that every executor can hold; beyond it a join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes of a table's files, or of the optimizer's estimate, up to which it is broadcast.
+BROADCAST_BYTES = 128 << 20
 #: A key with fewer rows than this needs no care in a join or a window.
 HOT_ROWS = 20_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a new local one where none is set."""
+    """The folder that the driver and all executors share, by ``spark.checkpoint.dir``. Where none is set, a
+    session whose executors are the driver itself gets a new local one; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not (master := spark.sparkContext.master).startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors share; {master} has none")
         folder = "file://" + tempfile.mkdtemp(prefix="kinloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -75,26 +80,50 @@ class Scratch:
                 remove(self.spark, path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and, by the optimizer's statistics,
+    ``size`` bytes, else as it is.
 
     It counts ``df``, so give it a materialised table.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows, size) else df
 
 
-def left_join_hot(left: DataFrame, right: DataFrame, keys: list[str], size: str, rows: int) -> DataFrame:
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return told <= size and df.limit(rows + 1).count() <= rows
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` under underscores, so many that no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose number is in ``gone`` (uid); ``docs`` must number its rows alike in
+    every pass. Columns of ``docs`` keep their names, whatever they are called."""
+    uid = free_name(docs, "uid")
+    numbered = docs.withColumn(uid, F.monotonically_increasing_id())
+    return numbered.join(small(gone.select(F.col("uid").alias(uid))), uid, "left_anti").drop(uid)
+
+
+def left_join_hot(left: DataFrame, right: DataFrame, keys: list[str], size: str, rows: int, hot_rows: int = HOT_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Left join of ``left`` with ``right``, which has each key once and in ``size`` the key's
     rows in ``left``.
 
-    Keys of at least max(HOT_ROWS, rows / 10,000) rows are joined by broadcast: there are at
+    A ``right`` of at most ``broadcast_rows`` rows is broadcast. Beyond that, keys of at least max(hot_rows, rows / 10,000) rows are joined by broadcast: there are at
     most 10,000 of them, whatever the input's size. No key of the shuffled rest is hot.
     ``rows`` is the row count of ``left``. Null keys match nothing.
     """
-    edge, values = max(HOT_ROWS, rows // 10_000), [c for c in right.columns if c not in keys]
+    edge, values = max(hot_rows, rows // 10_000), [c for c in right.columns if c not in keys]
     hot = right.where(F.col(size) >= edge)
+    if is_small(right, broadcast_rows):
+        return left.join(F.broadcast(right), keys, "left")
     if hot.isEmpty():
-        return left.join(small(right), keys, "left")
+        return left.join(right, keys, "left")
     tag = lambda df, p: df.select(*keys, F.struct(*values).alias(p))
     out = left.join(F.broadcast(tag(hot, "_hot")), keys, "left")
     # Rows that have met their key already look for a key that isn't there, each for another.
