@@ -90,7 +90,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return told <= size and df.limit(rows + 1).count() <= rows
 
 
