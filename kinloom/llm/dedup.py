@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.plans.scratch import Scratch, left_join_hot, small
+from kinloom.plans.scratch import BROADCAST_ROWS, HOT_ROWS, Scratch, left_join_hot, small, without
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -31,16 +31,20 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", normalised().alias("norm"), F.coalesce(F.length("text"), F.lit(0)).alias("points"))
 
 
-def groups(docs: DataFrame, digest: str = "sha256", scratch: Scratch | None = None) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, keep_id, group_size, kept, text_sha256)."""
+def groups(docs: DataFrame, hot_rows: int = HOT_ROWS, broadcast_rows: int = BROADCAST_ROWS, scratch: Scratch | None = None) -> DataFrame:
+    """One row per row of ``docs``: (doc_id, keep_id, group_size, kept, text_sha256). Groups of at least
+    ``hot_rows`` rows, and a ten thousandth of all, are never joined by a shuffle, and no group is
+    where there are at most ``broadcast_rows`` of them."""
     s = scratch or Scratch(docs.sparkSession)
     bits = F.unhex(F.md5("norm")).alias("bits")
     rows = s.table(_texts(docs).select("uid", "doc_id", bits, "points", F.sha2("norm", 256).alias("text_sha256")), "rows")
     n = rows.count()
     best = F.max(F.struct("points", (-F.col("doc_id")).alias("minus"), (-F.col("uid")).alias("row")))
     seen = s.table(rows.groupBy("bits").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")), "groups")
-    several = s.table(seen.where("group_size > 1").select("bits"), "several")
-    wide = _texts(docs).select("uid", bits, "norm").join(small(several), "bits", "left_semi")
+    # rows of large groups find their group by broadcast and so stay in their tasks, where copies fall together
+    # before anything is shuffled; only texts of small groups may travel, and only where there are too many to broadcast
+    several = s.table(seen.where("group_size > 1").select("bits", "group_size", F.lit(True).alias("several")), "several")
+    wide = left_join_hot(_texts(docs).select("uid", bits, "norm"), several, ["bits"], "group_size", n, hot_rows, broadcast_rows).where("several")
     ends = wide.groupBy("bits").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     clash = s.table(ends.where("low <> high").select("bits"), "clashes")
     if not clash.isEmpty():
@@ -52,7 +56,7 @@ def groups(docs: DataFrame, digest: str = "sha256", scratch: Scratch | None = No
         seen = s.table(rows.groupBy("bits").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")), "groups")
     # a row of a group of its own needs no partner: only groups of several are joined
     many = seen.where("group_size > 1").select("bits", "group_size", (-F.col("best.minus")).alias("keep_id"), (-F.col("best.row")).alias("keep_row"))
-    out = left_join_hot(rows, many.withColumn("_n", F.col("group_size")), ["bits"], "_n", n)
+    out = left_join_hot(rows, many.withColumn("_n", F.col("group_size")), ["bits"], "_n", n, hot_rows, broadcast_rows)
     alone = F.col("group_size").isNull()
     return out.select(
         "doc_id",
@@ -69,11 +73,11 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     ``docs`` must be a materialised table or a file scan, which numbers its rows alike in every
     pass. The dropped rows' numbers are broadcast while they are few, else the texts shuffle.
+    Columns keep their names, whatever they are called. Nulls, ties and repeated rows: as in ``groups``.
     """
     s = scratch or Scratch(docs.sparkSession)
-    gone = s.table(groups(docs, scratch=s).where("not kept").select(F.col("uid").alias("_uid")), "dropped")
-    numbered = docs.withColumn("_uid", F.monotonically_increasing_id())
-    return numbered.join(small(gone), "_uid", "left_anti").drop("_uid")
+    gone = s.table(groups(docs, scratch=s).where("not kept").select("uid"), "dropped")
+    return without(docs, gone)
 
 
 def op6(docs: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql.window import Window
 
 from kinloom.llm.text import encoded, mix, release_caches, shingles, slices, words
 from kinloom.operators.components import connected_components
-from kinloom.plans.scratch import Scratch, left_join_hot, small
+from kinloom.plans.scratch import HOT_ROWS, Scratch, left_join_hot, small, without
 
 CENTRES = 16
 #: Centres and members of one block of a larger key.
@@ -51,6 +51,8 @@ BLOCK_CENTRES, BLOCK_MEMBERS = 512, 4096
 #: Coarse fragments in which a pair's overlap is counted.
 PARTS = 4
 GROWTH = 1.5
+#: Of so many rows one is looked at to foresee which keys are hot.
+SHARE = 64
 
 
 class Levels:
@@ -209,8 +211,36 @@ def overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:
     return counted.groupBy(*pairs.columns).agg(F.sum("both").alias("both"))
 
 
-def components(docs: DataFrame, k: int = 3, percent: int = 90, scratch: Scratch | None = None) -> DataFrame:
-    """(uid, doc_id, n_shingles, component_id) of every row of ``docs``."""
+def hot_keys(full: DataFrame, rows: int, hot_rows: int, s: Scratch) -> DataFrame:
+    """Keys (key) that seem to have at least max(hot_rows, rows / 10,000) rows, by one row in SHARE. They are at most
+    20,000 times the keys of a row. They only choose the form of a join, whose result is the same for any choice."""
+    some = full.where(F.pmod(F.xxhash64("uid"), F.lit(SHARE)) == 0).select(F.explode(F.concat("keys0", "keys1", "prefix")).alias("key"))
+    seen = some.groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
+    return s.table(seen.where(F.col("seen") * SHARE * 2 >= max(hot_rows, rows // 10_000)).select("key"), "hot")
+
+
+def with_docs(mine: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds ``docs``, the rows of its key, to (owner, key), for keys of several rows.
+
+    Rows of hot keys are counted within their tasks and get the count by broadcast. For the others one
+    exchange serves the count and the join: counting owners keeps their column in both."""
+    cold = mine.join(F.broadcast(hot), "key", "left_anti").repartition("key")
+    shared = cold.groupBy("key").agg(F.count("owner").alias("docs")).where("docs > 1")
+    out = cold.join(shared, "key")
+    if hot.isEmpty():
+        return out
+    warm = mine.join(F.broadcast(hot), "key", "left_semi")
+    counted = warm.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    return out.unionByName(warm.join(F.broadcast(counted), "key"))
+
+
+def components(docs: DataFrame, k: int = 3, percent: int = 90, hot_rows: int = HOT_ROWS, scratch: Scratch | None = None) -> DataFrame:
+    """(uid, doc_id, n_shingles, component_id) of every row of ``docs``.
+
+    A null text or one without words has no shingles and is linked with nothing: its component is its own
+    doc_id. Null doc_ids come last among a component's, so a component of null ones only has a null component_id; repeated
+    rows and equal texts are one class. Very long texts are read whole, in passes. An empty table stays empty; other
+    columns are ignored, whatever their names. ``hot_rows`` only chooses the form of a join."""
     s = scratch or Scratch(docs.sparkSession)
     full = s.table(sketches(docs, k, percent), "sketches")
     rows = s.table(full.drop("keys0", "keys1", "prefix"), "rows")
@@ -224,10 +254,7 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90, scratch: Scratch
     ids = classes.select(F.col("cid").alias("uid"))
     at_level = lambda level, keys: F.transform(keys, lambda x: F.struct((F.col("uid") * 4 + level).alias("owner"), x.alias("key")))
     mine = full.join(ids, "uid", "left_semi").select(F.inline(F.concat(at_level(0, "keys0"), at_level(1, "keys1"), at_level(2, "prefix"))))
-    # one exchange serves the count and the join: counting owners keeps their column in both
-    mine = mine.repartition("key")
-    shared = mine.groupBy("key").agg(F.count("owner").alias("docs")).where("docs > 1")
-    common = s.table(mine.join(shared, "key"), "common")
+    common = s.table(with_docs(mine, hot_keys(full, rows.count(), hot_rows, s)), "common")
     s.drop(full)
     s.release()
     skips = rows.select(F.col("uid").alias("cid"), "n", "bits", F.array("skip0", "skip1", F.lit(0).cast("long")).alias("skips"))
@@ -311,13 +338,12 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90, scratch: Scratch
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row of least doc_id, with all columns."""
     s = scratch or Scratch(docs.sparkSession)
-    found = s.table(components(docs, k, percent, s).where("n_shingles > 0"), "components")
+    found = s.table(components(docs, k, percent, scratch=s).where("n_shingles > 0"), "components")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
     group = F.struct(F.col("component_id").isNull().alias("none"), F.coalesce("component_id", "uid").alias("id"))
-    keep = found.groupBy(group.alias("g")).agg(first).select(F.col("first.uid").alias("_uid"))
-    gone = s.table(found.select(F.col("uid").alias("_uid")).join(keep, "_uid", "left_anti"), "dropped")
-    numbered = docs.withColumn("_uid", F.monotonically_increasing_id())
-    return numbered.join(small(gone), "_uid", "left_anti").drop("_uid")
+    keep = found.groupBy(group.alias("g")).agg(first).select(F.col("first.uid").alias("uid"))
+    gone = s.table(found.select("uid").join(keep, "uid", "left_anti"), "dropped")
+    return without(docs, gone)
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.plans.scratch import Scratch, small
+from kinloom.plans.scratch import Scratch, without
 
 #: Languages whose references are broadcast.
 WIDE = 1000
@@ -185,9 +185,8 @@ def keep(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns. ``docs`` must be a file scan
     or materialised table. Rejected rows' numbers are broadcast while they are few."""
     s = scratch or Scratch(docs.sparkSession)
-    gone = s.table(judge(docs, scratch=s).where("not kept").select(F.col("uid").alias("_uid")), "rejected")
-    numbered = docs.withColumn("_uid", F.monotonically_increasing_id())
-    return numbered.join(small(gone), "_uid", "left_anti").drop("_uid")
+    gone = s.table(judge(docs, scratch=s).where("not kept").select("uid"), "rejected")
+    return without(docs, gone)
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -25,6 +25,9 @@ each. Only a text without white space keeps its heads, and then one task reads a
 
 from __future__ import annotations
 
+import gc
+import re
+
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -36,16 +39,16 @@ from kinloom.llm.text import slices, worker_cache
 
 #: Characters of a chunk.
 CHUNK = 1 << 16
-#: Transitions that a worker keeps; beyond it the machine is compiled anew.
-KEEP_TRANSITIONS = 800_000
-KEEP_CHARS = 48
+#: Transitions over one character and over several that a worker keeps, and the latter's characters.
+KEEP_SINGLE, KEEP_COMPOSED, KEEP_CHARS = 900_000, 900_000, 48
 #: What follows an apostrophe in a contraction of byte-level BPE's pre-tokenizer.
 SHORT, LONG = "stmd", {"r": "e", "v": "e", "l": "l"}
 #: Stretches that end with blanks, so that they begin in few states.
-_STRETCH = regex.compile(r"[^ \n]*[ \n]+|[^ \n]+")
+_STRETCH = re.compile(r"[^ \n]*[ \n]+|[^ \n]+")
 #: All states meet after white space that follows another character.
 _MEET = regex.compile(r"(?<=\S)\s")
 _LAST_MEET = regex.compile(r"(?r)(?<=\S)\s")
+_BYTE = [bytes((i,)) for i in range(256)]
 _SPACE, _LETTER, _NUMBER = (regex.compile(p) for p in (r"\s", r"\p{L}", r"\p{N}"))
 
 
@@ -59,10 +62,17 @@ class State(dict):
         self.machine, self.mode, self.tokens, self.held = machine, mode, tokens, held
 
     def __missing__(self, text: str) -> tuple[State, int]:
-        step = self.machine.step(self, text) if len(text) == 1 else self.machine.read(self, text)
+        m = self.machine
+        if len(text) == 1:
+            step = self[text] = m.step(self, text)
+            m.single += 1
+            return step
+        step = m.read(self, text)
         if len(text) <= KEEP_CHARS:
-            self.machine.kept += 1
-            self[text] = step
+            # units that end alike share their step
+            self[text] = m.steps.setdefault((id(step[0]), step[1]), step)
+            m.owners[id(self)] = self
+            m.composed += 1
         return step
 
 
@@ -70,14 +80,34 @@ class Machine:
     """The transducer of a byte-level BPE model."""
 
     def __init__(self, model: Bpe):
-        self.model = model
+        self.model, self.kinds = model, {}
         self.begins = {t[:i] for t in model.whole for i in range(1, len(t))}
-        self.states: dict[tuple, State] = {}
-        self.kept = 0
         #: No token yet: any token may begin here.
         self.none = ((b"", -1, 0),)
+        self.restart()
+
+    def restart(self) -> None:
+        self.states: dict[tuple, State] = {}
+        self.first: dict[str, tuple[State, int]] = {}
+        self.owners: dict[int, State] = {}
+        self.steps: dict[tuple[int, int], tuple[State, int]] = {}
+        self.single = self.composed = 0
         self.start = self.state("closed", self.none)
 
+    def forget(self) -> None:
+        """Drops compositions, or all states, of which more are kept than a worker should hold."""
+        if self.composed > KEEP_COMPOSED:
+            for s in self.owners.values():
+                for text in [t for t in s if len(t) > 1]:
+                    del s[text]
+            self.owners, self.steps, self.composed = {}, {}, 0
+        if self.single > KEEP_SINGLE:
+            for s in self.states.values():
+                s.clear()
+            self.restart()
+        if len(self.model.seams) > self.model.keep_seams:
+            self.model.seams.clear()
+
     def state(self, mode: str, tokens: tuple, held: str = "") -> State:
         key = mode, tokens, held
         found = self.states.get(key)
@@ -85,74 +115,73 @@ class Machine:
             found = self.states[key] = State(self, mode, tokens, held)
         return found
 
-    def forget(self) -> None:
-        """Drops all states, if more transitions are kept than a worker should hold."""
-        if self.kept > KEEP_TRANSITIONS:
-            for s in self.states.values():
-                s.clear()
-            self.states, self.kept = {}, 0
-            self.start = self.state("closed", self.none)
-        if len(self.model.seams) > self.model.keep_seams:
-            self.model.seams.clear()
+    def kind(self, ch: str) -> str:
+        found = self.kinds.get(ch)
+        if found is None:
+            found = self.kinds[ch] = "space" if _SPACE.match(ch) else "letters" if _LETTER.match(ch) else "numbers" if _NUMBER.match(ch) else "marks"
+        return found
 
     def feed(self, tokens: tuple, text: str) -> tuple[tuple, int]:
         """The last-token state after ``text`` in the same pre-token, and the change of its count."""
-        whole, begins, apart = self.model.whole, self.begins, self.model.apart
-        seams, count = self.model.seams, 0
+        whole, begins, seams, count = self.model.whole, self.begins, self.model.seams, 0
         for b in text.encode():
-            byte = bytes((b,))
+            token, kept = None, []
             for seen, last, since in tokens:  # longest first
-                token = whole.get(seen + byte)
-                if token is None:
-                    continue
-                if last < 0:
-                    break
-                ok = seams.get((last, token))
-                if ok is None:
-                    ok = seams[last, token] = apart(last, token)
-                if ok:
-                    break
-            more = 1 - since
-            tokens = (*[(seen + byte, last, since + more) for seen, last, since in tokens if seen + byte in begins], (b"", token, 0))
+                seen += _BYTE[b]
+                if token is None and (longest := whole.get(seen)) is not None:
+                    ok = last < 0 or seams.get((last, longest))
+                    if ok is None:
+                        ok = seams[last, longest] = self.model.apart(last, longest)
+                    if ok:
+                        token, more = longest, 1 - since
+                if seen in begins:
+                    kept.append((seen, last, since))
+            if more:
+                kept = [(seen, last, since + more) for seen, last, since in kept]
+            tokens = (*kept, (b"", token, 0))
             count += more
         return tokens, count
 
-    def fresh(self, ch: str, before: str = "") -> tuple[State, int]:
-        """The state after a pre-token's first character, which no white space is, and its count.
-        ``before`` is the blank that the pre-token takes in."""
-        mode = "letters" if _LETTER.match(ch) else "numbers" if _NUMBER.match(ch) else "apostrophe" if ch == "'" and not before else "marks"
-        tokens, n = self.feed(self.none, before + ch)
-        return self.state(mode, tokens), n
+    def fresh(self, text: str) -> tuple[State, int]:
+        """The state after a pre-token's first characters, a blank at most and another, and their count; or after white space."""
+        found = self.first.get(text)
+        if found is None:
+            kind, held = self.kind(text[-1]), ""
+            tokens, n = self.feed(self.none, text)
+            if text == "'":
+                kind = "apostrophe"
+            elif kind == "space":
+                tokens, held = self.none, text
+            found = self.first[text] = self.state(kind, tokens, held), n
+        return found
 
     def step(self, s: State, ch: str) -> tuple[State, int]:
         """One character's transition."""
-        mode, tokens = s.mode, s.tokens
-        if _SPACE.match(ch):
+        mode, tokens, kind = s.mode, s.tokens, self.kind(ch)
+        if kind == "space":
             if mode != "space":
-                return self.state("space", self.none, ch), self.feed(self.none, ch)[1]
+                return self.fresh(ch)
             run, _ = self.feed(tokens, s.held)
             return self.state("space", run, ch), self.feed(run, ch)[1]
-        if mode == "space":
-            back = -self.feed(tokens, s.held)[1]  # the held character leaves the run
+        if mode == "space":  # the held character leaves the run
+            back = self.feed(tokens, s.held)[1]
             if s.held == " ":
-                to, n = self.fresh(ch, " ")
-                return to, n + back
-            alone = self.feed(self.none, s.held)[1]
+                to, n = self.fresh(" " + ch)
+                return to, n - back
             to, n = self.fresh(ch)
-            return to, n + alone + back
+            return to, n + self.fresh(s.held)[1] - back
         if mode == "short":  # an apostrophe, and a letter that may go on to a contraction
             if LONG[s.held] == ch:
-                apostrophe, n = self.feed(self.none, "'")
-                return self.state("closed", self.none), self.feed(apostrophe, s.held + ch)[1] - self.feed(self.none, s.held)[1]
+                apostrophe, _ = self.feed(self.none, "'")
+                return self.start, self.feed(apostrophe, s.held + ch)[1] - self.fresh(s.held)[1]
             mode = "letters"
         if mode == "apostrophe":
             if ch in SHORT:
-                return self.state("closed", self.none), self.feed(tokens, ch)[1]
+                return self.start, self.feed(tokens, ch)[1]
             if ch in LONG:
-                letter, n = self.feed(self.none, ch)
-                return self.state("short", letter, ch), n
+                letter, n = self.fresh(ch)
+                return self.state("short", letter.tokens, ch), n
             mode = "marks"
-        kind = "letters" if _LETTER.match(ch) else "numbers" if _NUMBER.match(ch) else "marks"
         if kind == mode:
             more, n = self.feed(tokens, ch)
             return self.state(mode, more), n
@@ -218,6 +247,16 @@ def compose(m: Machine, maps: list[tuple]) -> tuple[str, int | None, str]:
     return maps[0] if maps else EMPTY
 
 
+def whole_counts(m: Machine, texts: list[str | None]) -> list[int]:
+    """Counts of whole texts. States refer to each other, which the collector of cycles would follow again and
+    again while a pass adds to them."""
+    gc.disable()
+    try:
+        return [sum(1 if special else m.run(m.start, piece)[1] for piece, special in _cut(m.model, t)) if t else 0 for t in texts]
+    finally:
+        gc.enable()
+
+
 def count(docs: DataFrame, path: str | None = None, limit: int = 512, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every text.
 
@@ -239,9 +278,7 @@ def count(docs: DataFrame, path: str | None = None, limit: int = 512, chunk: int
         for batch in batches:
             column = batch.column(2)
             for a, b in slices(column, 4 << 20):
-                m, counts = machine(), []
-                for t in column.slice(a, b - a).to_pylist():
-                    counts.append(sum(1 if special else m.run(m.start, piece)[1] for piece, special in _cut(m.model, t)) if t else 0)
+                counts = whole_counts(machine(), column.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     def cut(batches):

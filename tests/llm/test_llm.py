@@ -52,7 +52,8 @@ def test_empty_tables(none, spark):
 
 
 def test_mix(docs):
-    got = mixing.op1(docs).toPandas()
+    digest = lambda: mixing.op1(docs).withColumn("shards", F.col("shards").cast("string")).toPandas()
+    got = digest()
     assert len(got) == len(ROWS)
     sizes = Counter()
     for r in ROWS:
@@ -61,7 +62,7 @@ def test_mix(docs):
     assert (got.taken <= 3 * got["size"]).all()
     assert abs(got.taken.sum() - sum(sizes.values())) <= 4
     assert got.drop_duplicates("source_size").target.sum() == pytest.approx(sum(sizes.values()))
-    again = mixing.op1(docs).toPandas()
+    again = digest()
     key = list(got.columns)
     assert got.sort_values(key).reset_index(drop=True).equals(again[key].sort_values(key).reset_index(drop=True)) and len(per)
 
@@ -75,19 +76,82 @@ def test_mix_shards_are_exact(docs):
     assert sum(len(words(r.text)) for r in out.collect()) == drawn.agg(F.sum("words")).first()[0]
 
 
-def test_splitting_tree_is_consistent():
-    quota = np.array([7, 0, 100, 3], np.int64)
-    leaves = [mixing._descend(i, 5, quota.copy(), 3) for i in range(5)]
-    assert (sum(q for q, _ in leaves) == quota).all()
-    at = np.zeros(4, np.int64)
-    for q, start in leaves:
-        assert (start == at).all()
-        at += q
+@pytest.mark.parametrize("limit", [10**9, 2])
+def test_splitting_tree_is_consistent(limit):
+    """Every shard finds the same tree by itself; quotas and starts are exact per pool, for one group of pools and for several."""
+    totals, pools = np.array([110, 40, 0], np.int64), [np.array([7, 0, 100, 3]), np.array([1, 39]), np.array([], np.int64)]
+    for g, quota in enumerate(pools):
+        every = list(mixing._leaves(5, (0, 5), totals, g, quota, 3, limit))
+        assert [i for i, _, _ in every] == list(range(5))
+        at = np.zeros_like(quota)
+        for i, got, start in every:
+            (one,) = mixing._leaves(5, (i, i + 1), totals, g, quota, 3, limit)
+            assert (one[1] == got).all() and (one[2] == start).all() and (start == at).all()
+            at = at + got
+        assert (at == quota).all()
+    sizes = [sum(int(next(mixing._leaves(5, (i, i + 1), totals, g, q, 3, limit))[1].sum()) for g, q in enumerate(pools)) for i in range(5)]
+    assert sizes == [30] * 5
+
+
+def test_large_draws_follow_the_distribution():
+    """The inverted distribution function, made to serve small urns, against probabilities by binomials; and a huge urn's mean and spread."""
+    for good, bad, n in ((5, 9, 6), (40, 3, 20), (1, 1, 1), (30, 70, 50)):
+        rng_ = np.random.default_rng(1)
+        got = Counter(mixing._hypergeometric(rng_, good, bad, n, 0) for _ in range(20000))
+        for x in range(n + 1):
+            p = math.comb(good, x) * math.comb(bad, n - x) / math.comb(good + bad, n)
+            assert abs(got[x] / 20000 - p) < 5 * math.sqrt(p * (1 - p) / 20000) + 1e-4
+    good, bad, n = 3_000_000_000, 2_000_000_000, 2_500_000_000
+    draws = np.array([mixing._hypergeometric(np.random.default_rng(i), good, bad, n, 10**9) for i in range(60)], float)
+    sd = math.sqrt(n * 0.6 * 0.4 * 0.5)
+    assert abs(draws.mean() - 0.6 * n) < 5 * sd / math.sqrt(60) and 0.7 * sd < draws.std() < 1.3 * sd
+
+
+def test_mix_of_many_sources_has_quotas_per_source(spark):
+    """More sources than a group holds: each source still has its own exact number of blocks, and disjoint ones."""
+    r = random.Random(8)
+    rows = [(i, " ".join(["w"] * r.randrange(1, 30)), f"s{i % 23}", 1) for i in range(600)]
+    frame = Scratch(spark).table(spark.createDataFrame(rows, "doc_id long, text string, source string, shard int").repartition(3))
+    for group_pools in (4, 4096):
+        copies = mixing.mix(frame, shard_words=500, block_docs=4, group_pools=group_pools).where("epoch is not null").toPandas()
+        assert copies["shard"].nunique() > 8 and copies["shard"].notna().all()
+        per_block = copies.groupby(["source", "shard"]).size().reset_index(name="n")
+        blocks = per_block.assign(b=-(-per_block.n // 4)).groupby("source").b.sum()
+        whole = -(-copies.groupby("source").size() // 4)
+        assert ((blocks >= whole) & (blocks <= whole + 1)).all()
+    out = mixing.mixed_rows(frame, mixing.mix(frame, shard_words=500))
+    assert out.columns == [*frame.columns, "_shard", "position"] and out.where("shard <> 1").count() == 0
+
+
+def test_mix_targets_by_brute_force(spark):
+    """Targets, caps and what is taken per source, from the contract's words."""
+    sizes = {"a": 100, "b": 4000, "c": 30, "d": 2000, "e": 0, None: 700}
+    rows = [(i, " ".join(["x"] * 10), s) for s, n in sizes.items() for i in range(n // 10)] + [(0, "", "e")]
+    rows = [(i, t, s) for i, (_, t, s) in enumerate(rows)]
+    total, names = sum(sizes.values()), sorted(s for s in sizes if s) + [None]
+    weight = dict(zip(names, [5, 2, 1] * 2, strict=False))
+    target, open_ = {}, set(names)
+    while True:
+        rest = total - sum(target.values())
+        share = {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = [s for s in open_ if share[s] > 3 * sizes[s]]
+        if not full:
+            break
+        target |= {s: 3 * sizes[s] for s in full}
+        open_ -= set(full)
+    target |= share
+    got = mixing.op1(Scratch(spark).table(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))).toPandas()
+    of = {i: s for i, _, s in rows}
+    got["source"] = got.doc_id.map(lambda i: of[i] or "")
+    for s in names:
+        mine = got[got.source == (s or "")]
+        assert mine.target.tolist() == pytest.approx([target[s]] * len(mine)) and set(mine.source_size) == {sizes[s]}
+        assert abs(mine.taken.sum() - target[s]) <= 1
 
 
 def test_langid(spark):
     parts = {"en": "th er ing and of", "de": "sch ein ung der ch", "fr": "eau que ment les oi", "es": "ción ado los rr ll"}
-    rows = [(i, " ".join("".join(rng.choices(p.split(), k=3)) for _ in range(30)), lang) for lang, p in parts.items() for i in range(hash(lang) % 7, 4000, 53)]
+    rows = [(i, " ".join("".join(rng.choices(p.split(), k=3)) for _ in range(30)), lang) for lang, p in parts.items() for i in range(len(lang) + ord(lang[0]) % 7, 4000, 53)]
     rows = [(k, t, lang) for k, (_, t, lang) in enumerate(rows)] + [(None, None, "en"), (-1, "12 !", "en"), (-2, "É", None)]
     got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     held = [(i, lang) for i, _, lang in rows if i is not None and i >= 0 and zlib.crc32(str(i).encode()) % 4 == 2]
@@ -153,7 +217,8 @@ def test_state_maps_compose_associatively(spark):
 
 def test_token_counts_of_nulls_and_forgotten_states(spark, monkeypatch):
     tokenizers = pytest.importorskip("tokenizers")
-    monkeypatch.setattr(tokencount, "KEEP_TRANSITIONS", 5)
+    monkeypatch.setattr(tokencount, "KEEP_SINGLE", 5)
+    monkeypatch.setattr(tokencount, "KEEP_COMPOSED", 3)
     tok, m = tokenizers.Tokenizer.from_file(bpe.tokenizer_path()), tokencount.Machine(bpe.Bpe(bpe.tokenizer_path()))
     for t in BASE[:20]:
         m.forget()
@@ -172,6 +237,33 @@ def test_url_rules_and_propagation(spark):
     assert all(got[20 + i].verdict == "block" for i in range(3)) and all(got[50 + i].verdict == "allow" for i in range(60))
 
 
+@pytest.mark.parametrize("bounds", [{}, {"hot_rows": 2, "broadcast_rows": 0}])
+def test_url_propagation_by_brute_force(spark, bounds):
+    """Fixed points of both ranks on a random graph with cycles and a hub, solved as linear systems."""
+    r = random.Random(12)
+    hosts = [f"h{i}.info" for i in range(24)] + ["bad.com", "worse.com", "example.com"]
+    links = [(a, b) for a in hosts for b in r.sample(hosts, r.randrange(4)) if a != b] + [(a, "hub.info") for a in hosts[:20]] + [("hub.info", b) for b in hosts[5:]]
+    hosts.append("hub.info")
+    path = lambda h: "/en/7" if h == "example.com" else "/en/x" if h.endswith(".com") else "/"
+    rows = [(i, f"http://{h}{path(h)}", "".join(f'<a href="http://{b}/p">' for a, b in links if a == h)) for i, h in enumerate(hosts)]
+    rows += [(100, "http://bad.com/ok", ""), (101, None, None), (None, "http://h0.info/", None)]
+    at = {h: i for i, h in enumerate(hosts)}
+    step = np.zeros((len(hosts), len(hosts)))
+    for a, b in set(links):
+        step[at[a], at[b]] = 1 / len({y for x, y in links if x == a})
+    seed = lambda *hs: np.array([float({"bad.com": 0.5}.get(h, 1)) if h in hs else 0.0 for h in hosts])
+    trust = np.linalg.solve(np.eye(len(hosts)) - 0.85 * step.T, seed("example.com"))
+    blocked = seed("bad.com", "worse.com")
+    distrust = np.linalg.solve(np.eye(len(hosts)) - 0.85 * step, blocked) - blocked
+    for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), **bounds).collect():
+        if x.host:
+            assert x.host_trust == pytest.approx(trust[at[x.host]], abs=3e-4) and x.host_distrust == pytest.approx(distrust[at[x.host]], abs=3e-4)
+            far = distrust[at[x.host]] > 0.25 and distrust[at[x.host]] > 2 * trust[at[x.host]]
+            assert x.verdict == {"com/en/": "block", "example.com/en/7": "allow"}.get(x.rule, "block" if far else "allow")
+        else:
+            assert x.verdict == "allow" and x.host_trust == 0
+
+
 @pytest.mark.parametrize("n", [1, 4, 50, 1000])
 def test_url_distrust_does_not_fall_with_linkers(spark, n):
     link = lambda *hosts: "".join(f'<a href="http://{h}/x">' for h in hosts)
@@ -199,6 +291,26 @@ def test_exact_dedup(docs):
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
     assert Counter(r.text_sha256 for r in got if r.kept) == Counter(hashlib.sha256(k.encode()).hexdigest() for k in groups)
     assert dedup.dedup(docs).columns == docs.columns and dedup.dedup(docs).count() == len(groups)
+    hot = dedup.groups(docs, hot_rows=2, broadcast_rows=0).drop("uid").collect()
+    assert Counter(map(tuple, hot)) == Counter(map(tuple, got))
+
+
+def test_columns_of_helper_names_stay(spark):
+    names = ["_uid", "_words", "shard", "position", "uid", "n", "key", "words", "__uid"]
+    rows = [(i, some(60), "en", "s", *[f"{c}{i}" for c in names]) for i in range(30)]
+    rows += [(30 + i, *r[1:4], *[f"{c}{30 + i}" for c in names]) for i, r in enumerate(rows[:6])]
+    frame = Scratch(spark).table(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names)))
+    whole = lambda d: all(r[c] == f"{c}{r.doc_id}" for r in d.collect() for c in names)
+    kept = dedup.dedup(frame)
+    assert kept.columns == frame.columns and kept.count() == 30 and whole(kept)
+    kept = quality.keep(frame)
+    assert kept.columns == frame.columns and whole(kept)
+    kept = jaccard.dedup(frame)
+    assert kept.columns == frame.columns and kept.count() == 30 and whole(kept)
+    mixed = mixing.in_shards(mixing.mixed_rows(frame, mixing.mix(frame)))
+    assert mixed.columns[: len(frame.columns)] == frame.columns and whole(mixed)
+    for op in (mixing.op1, langid.op2, bpe.op4, dedup.op6, katz.op7, jaccard.op8, tokencount.count, quality.op10):
+        assert op(frame).count() == 36
 
 
 def test_hash_collisions_are_told_apart(spark, monkeypatch):
@@ -280,7 +392,7 @@ def test_katz_hot_histories(docs, bound):
 
 
 @pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
-def test_jaccard(spark, k, percent):
+def test_jaccard(spark, monkeypatch, k, percent):
     def edit(w, n):
         w = list(w)
         for _ in range(rng.randrange(n + 1)):
@@ -310,6 +422,9 @@ def test_jaccard(spark, k, percent):
     frame = Scratch(spark).table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(frame, k, percent).collect()}
     assert got == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
+    monkeypatch.setattr(jaccard, "SHARE", 1)
+    hot = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(frame, k, percent, hot_rows=6).collect()}
+    assert got == hot
     assert {r.doc_id for r in jaccard.dedup(frame, k, percent).collect()} == {i for i in range(len(texts)) if find(i) == i}
 
 
