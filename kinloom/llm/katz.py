@@ -229,6 +229,21 @@ def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[start], np.diff(np.append(start, len(h)))
 
 
+def _summed(answers: DataFrame) -> tuple[np.ndarray, int]:
+    """The ranges' totals added up: n-grams by count, and tokens."""
+
+    def run(frames):
+        for frame in frames:
+            for data in frame["data"]:
+                n, tokens = unpack(bytes(data))
+                yield pd.DataFrame([[*map(int, n), int(tokens[0])]], columns=names)
+
+    names = [*[f"n{i}" for i in range(KATZ + 3)], "tokens"]
+    rows = answers.where("kind = 'total'").select("data").mapInPandas(run, ", ".join(f"{c} long" for c in names))
+    *n, tokens = (x or 0 for x in rows.agg(*[F.sum(c) for c in names]).first())
+    return np.array(n, np.int64), tokens
+
+
 def fit(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = BLOCK_BYTES, range_tokens: int = RANGE_TOKENS, scratch: Scratch | None = None, hot: int | None = None) -> dict:
     """Blocks, word replies and bigram replies of ``docs``, with the model's global numbers."""
     s = scratch or Scratch(docs.sparkSession)
@@ -238,9 +253,7 @@ def fit(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = BLOCK_
     n_blocks = b.select("block").count()
     ranges = max(4, -(-n_blocks * block_bytes // (6 * range_tokens)))
     word = s.table(word_replies(b, ranges), "words")
-    totals = [unpack(bytes(r[0])) for r in word.where("kind = 'total'").select("data").collect()]
-    n = sum((t[0] for t in totals), np.zeros(KATZ + 3, np.uint64)).astype(np.int64)
-    tokens = int(sum(int(t[1][0]) for t in totals))
+    n, tokens = _summed(word)
     uni = Unigrams(n, tokens)
     hot = max(200_000, tokens // 5000) if hot is None else hot
     replies = word.where("kind = 'reply'").select("block", "part", "data")
@@ -300,12 +313,7 @@ def fit(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = BLOCK_
             back = np.unique(of[on[c == 0]])
             rows.append(("reply", block, part, pack(narrow(c), narrow(heads[back])) + b"", sums[back].tobytes()))
         n = np.bincount(np.minimum(count[seen], KATZ + 2).astype(np.int64), minlength=KATZ + 3).astype(np.uint64)
-        rows.append(("total", -1, part, pack(n), b""))
-        step = np.diff(w, prepend=np.uint64(0)) if len(w) else w
-        if len(w):
-            first = np.cumsum(lengths) - lengths
-            step[first] = w[first]
-        rows.append(("model", -1, part, pack(narrow(heads), narrow(lengths), narrow(step), narrow(count)), b""))
+        rows.append(("total", -1, part, pack(n, np.array([count.sum()], np.uint64)), b""))
         for i in np.flatnonzero(apart):
             rows.append(("history", int(heads[i]), part, b"", sums[i].tobytes()))
         return pd.DataFrame(rows, columns=["kind", "block", "part", "data", "sums"])
@@ -315,7 +323,7 @@ def fit(docs: DataFrame, fold: int = 7, held: int = 2, block_bytes: int = BLOCK_
     answered = asked.groupBy("part").applyInPandas(answer, "kind string, block long, part long, data binary, sums binary")
     answered.write.partitionBy("kind").parquet(path)
     pair = spark.read.schema("block long, part long, data binary, sums binary, kind string").parquet(path)
-    n2 = sum((unpack(bytes(r[0]))[0] for r in pair.where("kind = 'total'").select("data").collect()), np.zeros(KATZ + 3, np.uint64)).astype(np.int64)
+    n2, _ = _summed(pair)
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         whole = np.sum([np.frombuffer(x, float) for x in frame["sums"]], axis=0)

@@ -178,18 +178,18 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
 def training_rows(docs: DataFrame, sample: int, s: Scratch) -> DataFrame:
     """At most ``sample`` rows (text, lang): of each language those with the least hashes.
 
-    The hash threshold of a language follows from its row count, so no task ranks more than
+    A text that a language repeats counts once. The hash threshold of a language follows from its row count, so no task ranks more than
     about twice the rows it keeps.
     """
     known = docs.where("not held_out and lang is not null and text is not null")
     known = known.select("text", "lang", F.xxhash64("text", "lang").alias("h"))
-    sizes = s.table(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    sizes = s.table(known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")), "languages")
     langs = sizes.count()
     each = max(1, sample // max(1, langs))
-    edge = F.when(F.col("n") <= 2 * each, F.lit(2.0)).otherwise(2.0 * each / F.col("n") + 3.0 / F.sqrt(F.col("n") * each))
+    edge = F.when(F.col("n") <= 3 * each, F.lit(2.0)).otherwise(2.0 * each / F.col("n") + 3.0 / F.sqrt(F.col("n") * each))
     chosen = sizes.orderBy(F.desc("n"), "lang").limit(sample).select("lang", edge.alias("edge"))
     unit = (F.shiftrightunsigned("h", 11)) / float(1 << 53)
-    near = known.join(F.broadcast(chosen), "lang").where(unit < F.col("edge"))
+    near = known.join(F.broadcast(chosen), "lang").where(unit < F.col("edge")).dropDuplicates(["h", "text", "lang"])
     ranked = near.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
     return ranked.where(F.col("at") <= each).select("text", "lang")
 

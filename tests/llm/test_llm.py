@@ -160,6 +160,16 @@ def test_langid(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_langid_sample_counts_repeated_texts_once(spark):
+    texts = [(f"{lang} {some(12)} {i}", lang) for lang in ("en", "de") for i in range(300)]
+    frame = spark.createDataFrame(texts, "text string, lang string").where("lang = 'en'")
+    least = frame.orderBy(F.shiftrightunsigned(F.xxhash64("text", "lang"), 11)).first().text  # is in the sample for sure
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(texts + [(least, "en")] * 500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", F.lit(False))
+    got = langid.training_rows(frame, 80, Scratch(spark)).collect()
+    assert len(got) == len(set(got)) and Counter(r.lang for r in got) == {"en": 40, "de": 40}
+
+
 def test_warc_round_trip(spark):
     big = "é" * 600
     rows = [(1, "http://a.b/c?x", big), (2, None, None), (3, "u", "WARC/1.1\r\n\r\nWARC-Type: x\r\n\r\n" * 30), (4, "http://a/\r\nb", big), (5, "v", "short"), (6, "v", "short"), (7, "z", big), (None, "z", big), (7, "z", big)]
