@@ -24,11 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinloom.operators.components import connected_components
 from kinloom.plans.scratch import Scratch, small
 
 CRLF = "\r\n"
 URN = "<urn:x-capture:"
 DATE = "2024-01-01T00:00:00Z"
+#: Records that answer.
+MAIN = ("response", "revisit", "resource")
 
 
 def with_revisits(pages: DataFrame, revisit_bytes: int, s: Scratch) -> DataFrame:
@@ -73,7 +76,7 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = 1000, file_r
     out.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 3 * file_rows).text(path)
 
 
-RECORD = T.StructType([T.StructField(n, t) for n, t in (("type", T.StringType()), ("record_id", T.StringType()), ("concurrent_to", T.StringType()), ("refers_to", T.StringType()), ("target", T.StringType()), ("date", T.StringType()), ("digest", T.StringType()), ("length", T.LongType()), ("found_digest", T.StringType()), ("fields", T.StringType()), ("payload", T.BinaryType()))])
+RECORD = T.StructType([T.StructField(n, t) for n, t in (("type", T.StringType()), ("record_id", T.StringType()), ("concurrent_to", T.ArrayType(T.StringType())), ("refers_to", T.StringType()), ("target", T.StringType()), ("date", T.StringType()), ("digest", T.StringType()), ("length", T.LongType()), ("found_digest", T.StringType()), ("fields", T.StringType()), ("payload", T.BinaryType()))])
 
 
 def _inflate(data: bytes) -> bytes:
@@ -89,17 +92,24 @@ def _inflate(data: bytes) -> bytes:
 
 
 def parse(data: bytes, payloads: bool):
-    """Records of an uncompressed archive, as tuples of RECORD's fields."""
+    """Records of an uncompressed archive, as tuples of RECORD's fields. A record may name several concurrent ones; one
+    whose length is missing or no number ends where the next record begins."""
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
         head: dict[str, str] = {}
+        concurrent: list[str] = []
         for row in data[at:end].split(b"\r\n")[1:]:
             name, _, value = row.partition(b":")
-            head.setdefault(name.strip().lower().decode("latin-1"), value.strip().decode("utf-8", "replace"))
-        start, size = end + 4, int(head.get("content-length") or 0)
+            name, value = name.strip().lower().decode("latin-1"), value.strip().decode("utf-8", "replace")
+            head.setdefault(name, value)
+            if name == "warc-concurrent-to":
+                concurrent.append(value)
+        start, told = end + 4, head.get("content-length", "")
+        following = -1 if told.isdecimal() else data.find(b"\r\n\r\nWARC/", start - 4)
+        size = int(told) if told.isdecimal() else max(0, (following if following >= 0 else len(data.removesuffix(b"\r\n\r\n"))) - start)
         body = memoryview(data)[start : start + size]
         at = start + size
         kind, length, found, fields, payload = head.get("warc-type"), None, None, None, None
@@ -110,19 +120,19 @@ def parse(data: bytes, payloads: bool):
             fields = http.split("\r\n", 1)[0]
             if kind == "revisit":
                 told = [x.split(":", 1)[1] for x in http.split("\r\n")[1:] if x.lower().startswith("content-length:")]
-                length = int(told[0]) if told else None
+                length = int(told[0]) if told and told[0].strip().isdecimal() else None
             else:
                 length, found = len(payload), hashlib.sha1(payload).hexdigest()
         elif kind == "metadata":
             fields = bytes(body).decode("utf-8", "replace")
         digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
-        yield kind, head.get("warc-record-id"), head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-date"), digest, length, found, fields, bytes(payload) if payloads and payload is not None else None
+        yield kind, head.get("warc-record-id"), concurrent, head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-date"), digest, length, found, fields, bytes(payload) if payloads and payload is not None else None
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """All records of the archives in a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content")
-    types = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.string(), pa.binary()]
+    types = [pa.string(), pa.string(), pa.list_(pa.string())] + [pa.string()] * 4 + [pa.int64(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches):
         for batch in batches:
@@ -143,26 +153,39 @@ def _batch(rows: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], RECORD.names)
 
 
-def transactions(records: DataFrame) -> DataFrame:
+def captures(records: DataFrame, s: Scratch) -> DataFrame:
+    """(record_id, capture_id) of request and metadata records, through concurrent-to identifiers.
+
+    A capture is called as its response. Most records name their response, and then one join does. Only if a
+    record names none, or a response names others, are the records' links followed both ways and over any number of steps."""
+    links = s.table(records.select("record_id", F.col("type").isin(*MAIN).alias("main"), "concurrent_to"), "links")
+    mains = links.where("main").select(F.col("record_id").alias("capture_id"))
+    edges = links.select("record_id", "main", F.explode("concurrent_to").alias("to"))
+    direct = edges.where("not main").join(mains, F.col("to") == F.col("capture_id")).groupBy("record_id").agg(F.min("capture_id").alias("capture_id"))
+    direct = s.table(direct, "direct")
+    open_ = edges.where("main").select("record_id").union(links.where("not main and size(concurrent_to) > 0").select("record_id").join(direct, "record_id", "left_anti"))
+    if open_.isEmpty():
+        return direct
+    of = connected_components(edges, "record_id", "to", s)
+    named = of.join(mains, F.col("node") == F.col("capture_id")).groupBy("label").agg(F.min("capture_id").alias("capture_id"))
+    far = of.join(named, "label").select(F.col("node").alias("record_id"), "capture_id")
+    far = far.join(links.where("not main").select("record_id"), "record_id", "left_semi").join(direct, "record_id", "left_anti")
+    return s.table(direct.unionByName(far), "captures")
+
+
+def transactions(records: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One nested row per capture: (capture_id, target, date, request, response, metadata).
 
-    A request or metadata record names a concurrent record: the response, or another one of the
-    same capture that names it. Records of a capture meet by its response's identifier; a capture
-    has three of them, so no group is large. Records whose capture has no response are left out.
-    """
-    r = records.withColumn("main", F.col("type").isin("response", "revisit", "resource"))
-    names = r.where("not main").select(F.col("record_id").alias("concurrent_to"), F.col("concurrent_to").alias("via"))
-    direct = r.withColumn("capture_id", F.when(F.col("main"), F.col("record_id")).otherwise(F.col("concurrent_to")))
-    answers = direct.where("main").select("capture_id", F.struct("target", "date").alias("at"), F.struct("type", "record_id", "refers_to", "digest", "length", "found_digest", "fields", "payload").alias("response"))
-    rest = direct.where("not main")
-    far = rest.where(~F.col("capture_id").rlike(":response>$") & F.col("capture_id").isNotNull())
-    near = rest.where(F.col("capture_id").rlike(":response>$"))
-    far = far.join(names, "concurrent_to", "left").withColumn("capture_id", F.coalesce("via", "capture_id")).drop("via")
-    side = near.unionByName(far.select(near.columns)).select("capture_id", F.lit(None).alias("at"), F.lit(None).alias("response"), "type", F.struct("record_id", "fields").alias("part"))
-    every = answers.withColumn("type", F.lit("response")).withColumn("part", F.lit(None).cast("struct<record_id:string,fields:string>")).unionByName(side)
+    Records of a capture meet by its response's identifier; a capture has few of them, so no group is
+    large. Records whose capture has no response are left out; null identifiers meet nothing; of several requests of a
+    capture the one of greatest identifier is given, and so with metadata. No records give no captures."""
+    s = scratch or Scratch(records.sparkSession)
+    side = records.where(F.col("type").isin("request", "metadata")).select("record_id", "type", F.struct("record_id", "fields").alias("part"))
+    side = side.join(captures(records, s), "record_id")
     pick = lambda kind: F.max(F.when(F.col("type") == kind, F.col("part"))).alias(kind)
-    out = every.groupBy("capture_id").agg(F.first("at", True).alias("at"), pick("request"), F.first("response", True).alias("response"), pick("metadata"))
-    return out.where("response is not null").select("capture_id", "at.target", "at.date", "request", "response", "metadata")
+    side = side.groupBy("capture_id").agg(pick("request"), pick("metadata"))
+    answers = records.where(F.col("type").isin(*MAIN)).select(F.col("record_id").alias("capture_id"), "target", "date", F.struct("type", "record_id", "refers_to", "digest", "length", "found_digest", "fields", "payload").alias("response"))
+    return answers.join(side, "capture_id", "left").select("capture_id", "target", "date", "request", "response", "metadata")
 
 
 def op3(pages: DataFrame) -> DataFrame:
@@ -170,7 +193,7 @@ def op3(pages: DataFrame) -> DataFrame:
     s = Scratch(pages.sparkSession)
     path = s.path("warc")
     write_archive(pages, path, scratch=s)
-    t = transactions(read_records(pages.sparkSession, path, payloads=False))
+    t = transactions(read_records(pages.sparkSession, path, payloads=False), s)
     told = F.nullif(F.regexp_extract("metadata.fields", r"page-id: (-?\d+)", 1), F.lit("")).cast("long")
     return t.select(
         told.alias("page_id"),

@@ -188,6 +188,28 @@ def test_warc_round_trip(spark):
     assert {bytes(r.response.payload).decode() for r in t if r.response.type == "response"} == {h or "" for _, _, h in rows}
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    """Links in any direction and over several steps, several concurrent-to fields, lengths that are no number, and files without records."""
+    def record(kind, name, body, *to, length=None):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *[f"WARC-Concurrent-To: <{x}>" for x in to], "Content-Type: application/http", f"Content-Length: {len(body) if length is None else length}"]
+        return "WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n" + body + "\r\n\r\n"
+
+    http = lambda x: f"HTTP/1.1 200 OK\r\n\r\n{x}"
+    text = record("response", "r1", http("one")) + record("request", "q1", "GET /1", "r1") + record("metadata", "m1", "k: 1", "q1")
+    text += record("response", "r2", http("two"), "q2", "m2") + record("request", "q2", "GET /2") + record("metadata", "m2", "k: 2")
+    text += record("request", "q3", "GET /3", "m3", length="soon") + record("response", "r3", http("three")) + record("metadata", "m3", "k: 3", "x3") + record("warcinfo", "x3", "", "y3") + record("metadata", "y3", "k: 0", "r3")
+    text += record("request", "alone", "GET /", "nobody", length="-5") + record("resource", "r4", http("four"), length="")
+    (tmp_path / "a.warc").write_bytes(text.encode())
+    (tmp_path / "b.warc").write_bytes(b"no records\r\n\r\nWARC/1.1 cut off")
+    got = {r.capture_id: r for r in warc.transactions(warc.read_records(spark, str(tmp_path))).collect()}
+    assert set(got) == {"<r1>", "<r2>", "<r3>", "<r4>"}
+    name = lambda x: x and x.record_id
+    assert [(name(got[f"<r{i}>"].request), name(got[f"<r{i}>"].metadata)) for i in range(1, 5)] == [("<q1>", "<m1>"), ("<q2>", "<m2>"), ("<q3>", "<y3>"), (None, None)]
+    assert [bytes(got[f"<r{i}>"].response.payload) for i in range(1, 5)] == [b"one", b"two", b"three", b"four"]
+    pages = Scratch(spark).table(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert warc.op3(pages).count() == 0
+
+
 def test_bpe_and_counts_match_the_library(docs):
     tokenizers = pytest.importorskip("tokenizers")
     tok = tokenizers.Tokenizer.from_file(bpe.tokenizer_path())
