@@ -250,7 +250,9 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True, keep_unit
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, text) from (doc_id, token_ids); null ids give a null text."""
+    """(doc_id, text) from (doc_id, token_ids), as ``encode`` gives them. Null ids give a null text, no ids an empty
+    one; bytes that are no UTF-8 give replacement characters; a null doc_id is carried, repeated rows repeat, an empty table
+    stays empty, a text of any length is decoded whole, and other columns go, whatever their names."""
     model = encoded.sparkSession.sparkContext.broadcast(Bpe(path or tokenizer_path()))
 
     def run(frames):

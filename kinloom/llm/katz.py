@@ -19,7 +19,8 @@ gives its sums; there are at most 5,000 such histories, and only their added sum
 Texts: A-Z lower-cased, words [^\\x20\\x09-\\x0D]+ and one end token each. A null or blank text is
 its end token alone. Rows whose crc32 of doc_id falls into the held-out fold are only scored; a
 null doc_id is in no fold. Repeated rows count and are scored each; with no training row every
-token is unknown; an empty table stays empty; other columns are not carried.
+token is unknown; an empty table stays empty; texts of any length are read whole, each within one
+block; other columns are not carried, whatever their names.
 """
 
 from __future__ import annotations

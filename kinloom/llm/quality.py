@@ -11,8 +11,9 @@ with most documents are broadcast; documents of the others, each with less than
 all documents, are joined with their reference by language.
 
 Nulls: a null text has no words and fails the base rules; a null lang has no reference of its own;
-a null doc_id is carried. Rows are judged one by one, so repeated rows repeat; an empty table
-stays empty; other columns of the input are not carried by ``judge``.
+a null doc_id is carried. Texts are read whole: a very long one is one row's work. Rows are judged one by one,
+so repeated rows repeat, and ties can't arise; an empty table stays empty; other columns of the input are not
+carried by ``judge`` and are kept by ``keep``, whatever their names.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def _with_rare(d: DataFrame, refs: DataFrame, table: DataFrame, pairs: Sequence[
     for name, p, ref in pairs:
         far, near = far.withColumn(name, nearest(p, ref)), near.withColumn(name, nearest(p, ref))
     chunks = rare.groupBy(F.expr(f"pmod(xxhash64(lang), {-(-rare.count() // wide)})").alias("chunk")).agg(F.collect_list(F.struct("ref_chars", "ref_commons")).alias("more"))
-    least = lambda p, ref: F.min(F.array_min(F.transform("more", lambda r: distance(F.col(p), r[ref]))))
+    least = lambda p, ref: F.min(F.when(F.col(p).isNotNull(), F.array_min(F.transform("more", lambda r: distance(F.col(p), r[ref])))))
     more = d.where("lang is null").select("uid", "p_chars", "p_words").crossJoin(chunks.select("more"))
     more = more.groupBy("uid").agg(*[least(p, ref).alias(f"more_{name}") for name, p, ref in pairs])
     near = near.join(more, "uid", "left")

@@ -474,6 +474,47 @@ def test_quality_base(docs):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+@pytest.mark.parametrize("wide", [quality.WIDE, 1])
+def test_quality_verdicts_by_brute_force(spark, wide):
+    """Histograms, references, distances and verdicts, from the docstring's words in plain Python."""
+    r = random.Random(4)
+    pools = {lang: [*quality.COMMON[lang].split(), *["".join(r.choices(letters, k=r.randrange(2, 9))) for _ in range(50)]] for lang, letters in (("en", "abcdefgh"), ("de", "ijklmnß"), ("fr", "opqrsé"))}
+    make = lambda v, n: " ".join(r.choice(v).capitalize() if r.random() < 0.1 else r.choice(v) + r.choice(["", "", ".", ",", "#", "7", "~"]) for _ in range(n))
+    rows = [(i, make(pools[lang], r.randrange(20, 400)), lang if i % 9 else None) for i, lang in enumerate(["en", "de", "fr"] * 30)]
+    rows += [(200, "# | " * 300, "en"), (201, "ABC " * 100 + make(pools["en"], 200), "de"), (202, make(pools["fr"], 300), "de"), (203, make(pools["en"], 300), "xx"), (204, "", "en"), (205, None, "xx"), (206, "7 8 " * 400, None)]
+    listed, classes = quality.common_words(), [set(quality.LOWER), *[set(x) for c, x in quality.CLASSES.items() if c != "blank"]]
+
+    def hists(t):
+        t, w = t or "", words(t)
+        chars = [c for c in t if c not in quality.BLANKS]
+        first = [sum(c in k for c in chars) for k in classes]
+        found = [sum(x in (y, y.capitalize()) for x in w) for y in listed]
+        return [*first, len(chars) - sum(first)], [*found, len(w) - sum(found)]
+
+    def apart(p, q):
+        p, q = ([x / sum(v) for x in v] for v in (p, q))
+        part = lambda x, m: x * math.log2(x / m) if x else 0.0
+        return math.sqrt(max(0.0, sum(part(x, (x + y) / 2) + part(y, (x + y) / 2) for x, y in zip(p, q, strict=True)) / 2))
+
+    sums = defaultdict(lambda: [np.zeros(len(classes) + 1), np.zeros(len(listed) + 1)])
+    for _, t, lang in rows:
+        if lang:
+            for total, h in zip(sums[lang], hists(t), strict=True):
+                total += h
+    frame = Scratch(spark).table(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    got, rejected = {x.doc_id: x for x in quality.judge(frame, wide=wide).collect()}, 0
+    for i, t, lang in rows:
+        chars, common = hists(t)
+        refs = [sums[lang]] if lang else list(sums.values())
+        far = [min(apart(h, ref[k]) for ref in refs if ref[k].sum()) if sum(h) >= least else None for k, (h, least) in enumerate(((chars, 200), (common, 150)))]
+        for told, want in zip((got[i].char_distance, got[i].word_distance), far, strict=True):
+            assert (told is None) == (want is None) and (want is None or told == pytest.approx(want, abs=1e-9))
+        bad = (far[0] or 0) > 0.335 or (far[1] or 0) > 0.26
+        assert got[i].kept == (not got[i].base_failed and not bad)
+        rejected += bad
+    assert len(got) == len(rows) and rejected > 2
+
+
 def test_quality_verdicts_follow_labels(spark):
     d = "/root/testdata/sf0.01"
     got = quality.op10(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed").toPandas()
