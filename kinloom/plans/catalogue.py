@@ -13,6 +13,7 @@ from kinloom.functions.normalize import forms_udf
 from kinloom.operators import curate, describe, evaluate, resolve
 from kinloom.operators.components import connected_components
 from kinloom.operators.keys import FLAGS, aliases, key_rows
+from kinloom.plans import resolution_sql
 from kinloom.plans.scratch import Scratch
 from kinloom.sources import parsers, sinks
 
@@ -44,6 +45,16 @@ def alias_view(spark: SparkSession, sf_dir: str, more: bool = False) -> DataFram
     return d.select((F.col("doc_id") + 1).alias("uid"), F.array_join(F.slice("w", 1, 2), " ").alias("name"), email.alias("email"), *extra)
 
 
+def people_view(spark: SparkSession, sf_dir: str, more: bool = False) -> DataFrame:
+    """Four aliases a document, with names and addresses of all kinds that rules are about."""
+    w = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("p"), F.col("source").alias("s"), F.col("lang").alias("g"), w.alias("w"))
+    d = d.select("p", "s", "g", *[F.coalesce(F.get("w", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate("abc")], F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    d = d.selectExpr("*", "lower(a) f", "lower(b) l", "lower(c) m")
+    extra = (f"{resolution_sql.LOGIN} login", f"{resolution_sql.PLACE} location") if more else ()
+    return d.selectExpr("p * 4 + k + 1 uid", f"{resolution_sql.NAME} name", f"{resolution_sql.EMAIL} email", *extra)
+
+
 def p2a_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("concat('u', o_custkey % 50, '_r', o_orderkey % 997) repo", "concat('a', o_custkey) author").distinct()
 
@@ -97,9 +108,9 @@ def _docs(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
 
 
-def _prepared(spark: SparkSession, sf_dir: str, config: Config, more: bool = True):
+def _prepared(spark: SparkSession, sf_dir: str, config: Config, more: bool = True, view=people_view):
     s = Scratch(spark)
-    a = s.table(aliases(alias_view(spark, sf_dir, more), config), "aliases")
+    a = s.table(aliases(view(spark, sf_dir, more), config), "aliases")
     return s, a, s.table(resolve.sized_keys(key_rows(a, config)), "keys")
 
 
@@ -142,7 +153,7 @@ def representative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolve(alias_view(spark, sf_dir))
+    return resolve.resolve(people_view(spark, sf_dir))
 
 
 def resolve_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +184,7 @@ def normalize_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, a, keys = _prepared(spark, sf_dir, Config())
+    s, a, keys = _prepared(spark, sf_dir, Config(), True, alias_view)
     return keys.where("kind in ('email', 'domain', 'domain_main', 'login', 'location')").select("kind", "key", "n").distinct()
 
 
@@ -404,8 +415,7 @@ def oracle_sql() -> dict[str, str]:
         "blacklist_hits": f"WITH {ALIAS_COLS} SELECT uid, prefix <> '' AND (prefix IN ('admin', 'info', 'ther', 'and.', 'the') OR contains(prefix, 'admin') OR contains(prefix, 'info') OR contains(prefix, 'ther') OR contains(prefix, 'and.')) AS hit FROM a",
         "block_sizes": f"""WITH {ALIAS_COLS}, k AS (SELECT 'email' AS kind, lower(email) AS key FROM a2 UNION ALL SELECT 'domain', domain FROM a2 UNION ALL SELECT 'domain_main', domain_main FROM a2 UNION ALL SELECT 'login', login FROM a2 UNION ALL SELECT 'location', location FROM a2)
           SELECT kind, key, count(*) AS n FROM k GROUP BY 1, 2""",
-        "rule_domain": same_key("EMAIL_DOMAIN", f"(CASE WHEN domain NOT IN ({listed}) THEN domain END)"),
-        "rule_email": same_key("EMAIL", "lower(email)", False),
+        **resolution_sql.oracle(),
         "components": f"""WITH RECURSIVE a AS (SELECT uid, lower(name) AS n, email FROM ({ALIAS_SQL})), k AS (SELECT uid, 'n' || n AS key FROM a WHERE n <> '' UNION SELECT uid, 'e' || email FROM a),
           reach AS (SELECT uid AS x, uid AS y FROM a UNION SELECT r.x, k2.uid FROM reach r JOIN k k1 ON k1.uid = r.y JOIN k k2 ON k2.key = k1.key) SELECT x AS uid, min(y) AS cid FROM reach GROUP BY 1""",
         "username_mode": """WITH d AS (SELECT user_id % 50 AS cluster_id, CASE WHEN event_id % 5 > 0 THEN event_type ELSE '' END AS u FROM events), c AS (SELECT cluster_id, u, count(*) AS k FROM d WHERE u <> '' GROUP BY 1, 2),
