@@ -174,11 +174,11 @@ def name_email_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weird_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aliases(alias_view(spark, sf_dir), Config()).select("uid", *FLAGS)
+    return aliases(people_view(spark, sf_dir), Config()).select("uid", *FLAGS)
 
 
 def normalize_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = alias_view(spark, sf_dir).select("name").distinct()
+    names = people_view(spark, sf_dir).select("name").distinct()
     forms = F.get(forms_udf(Config())(F.array("name")), F.lit(0))
     return names.select("name", F.explode(forms).alias("form"))
 
@@ -246,7 +246,7 @@ def alias_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gt_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsers.matrix_pairs(table(spark, sf_dir, "embeddings").where("vec_id < 16").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("row")))
+    return parsers.matrix_pairs(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("row")))
 
 
 def gt_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +255,7 @@ def gt_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gt_dre(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "events").where("user_id < 40").select(F.col("event_id").alias("pos"), F.col("event_type").alias("dre_id"), F.concat(F.lit("w"), "user_id").alias("woc_id"))
+    d = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("dre_id"), F.concat(F.lit("w"), "user_id").alias("woc_id"))
     return parsers.dre_pairs(d)
 
 
@@ -308,7 +308,7 @@ def queries() -> dict[str, Query]:
         "resolve_groups": resolve_groups,
         "alias_projection": lambda s, d: aliases(alias_view(s, d), Config()).select("uid", "name", "email", "prefix", "domain", "domain_main"),
         "normalize_forms": normalize_forms,
-        "leet_map": _docs(lambda x: x.select("doc_id", T.leet(F.substring("text", 1, 200)).alias("v"))),
+        "leet_map": _docs(lambda x: x.select("doc_id", T.leet(F.col("text")).alias("v"))),
         "universal_map": _docs(lambda x: x.select("doc_id", T.universal(F.lower("text")).alias("v"))),
         "title_strip": on(lambda s, d: table(s, d, "part"), lambda x: x.select("p_partkey", T.drop_titles(F.concat(F.lit("dr "), F.lower("p_name"), F.lit(" jr."))).alias("v"))),
         "year_strip": on(lambda s, d: table(s, d, "part"), lambda x: x.select("p_partkey", T.squeeze(T.strip_zones_and_years(T.strip_timestamp(F.concat(F.lit("13:37:28 gmt 1999 "), F.lower("p_name"), F.lit(" 2020"))))).alias("v"))),
@@ -405,9 +405,24 @@ def oracle_sql() -> dict[str, str]:
       SELECT x.uid AS a, y.uid AS b, '{label}' AS rule FROM k x JOIN k y ON x.key = y.key AND x.uid < y.uid JOIN n ON n.key = x.key WHERE n > 1{" AND n < 40" if bound else ""}"""
     listed = ", ".join("'" + t.replace("'", "''") + "'" for t in Config().blacklist(True))
     wrong_sql = lambda o: f"""WITH {TRUTH_SQL}, {ALIAS_COLS} SELECT id1, x.name AS name1, x.email AS email1, id2, y.name AS name2, y.email AS email2 FROM j JOIN a x ON x.uid = id1 + 1 JOIN a y ON y.uid = id2 + 1 WHERE outcome = '{o}'"""
+    # what Latin-1 makes of UTF-8 bytes: marks of two of its characters are one character of the text
+    ill = "".join(chr(0xC0 + ord(m[1]) - 0x80) for m in T.MOJIBAKE if m[0] == "Ã" and ord(m[1]) < 0x100)
     return {
+        "ill_encoded": f"SELECT doc_id, coalesce(regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{80}}-\\x{{BF}}{ill}]'), FALSE) AS ill FROM documents",
+        "alias_file": f"SELECT row_number() OVER (ORDER BY min(uid)) AS uid, name, email FROM ({ALIAS_SQL}) WHERE name <> '' OR uid % 3 = 1 GROUP BY name, email",
+        "sample_preview": f"""WITH {owner}, r AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY owner) AS i, count(*) OVER (PARTITION BY author) AS n FROM d),
+          t AS (SELECT author, any_value(n) AS n, string_agg(owner, ', ' ORDER BY owner) FILTER (i <= 3) AS owners FROM r WHERE n > 1 GROUP BY 1 ORDER BY 1 LIMIT 10)
+          SELECT author, owners || CASE WHEN n > 3 THEN ' +' || (n - 3) || ' more' ELSE '' END AS usernames FROM t""",
+        "group_stats": f"""WITH g AS (SELECT grp, count(*) AS all_n, min_by(org_flag, pos) AS flag, CAST(count_if(org_flag = 0) AS BIGINT) AS n FROM ({GROUP_SQL}) GROUP BY 1),
+          h AS (SELECT CASE WHEN flag <> 0 THEN all_n END AS removed, CASE WHEN n > 0 AND n <= 14 THEN n END AS kept, n FROM g)
+          SELECT count(*) AS initial, CAST(count_if(n > 0) AS BIGINT) AS after_org, count(kept) AS after_max, {", ".join(f"{f}({c}) AS {k}_{c}" for c in ("removed", "kept") for k, f in (("avg", "avg"), ("median", "median"), ("std", "stddev_pop"), ("max", "max")))} FROM h""",
+        "privacy_exclusion": resolution_sql.privacy(NOREPLY_SQL),
+        "utf8_filter": "SELECT doc_id, CASE WHEN text IS NOT NULL THEN doc_id % 4 = 3 END AS valid FROM documents",
+        "gt_pairwise_ids": """WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS pos, 'p' || l_partkey AS c0, 's' || l_suppkey AS c1, CAST(l_returnflag = 'R' AS INT) AS label FROM lineitem),
+          f AS (SELECT alias, row_number() OVER (ORDER BY min(place), alias) - 1 AS id FROM (SELECT c0 AS alias, pos * 2 AS place FROM l UNION ALL SELECT c1, pos * 2 + 1 FROM l) GROUP BY 1)
+          SELECT label, count(*) AS n, CAST(sum(x.id) AS BIGINT) AS s1, CAST(sum(y.id) AS BIGINT) AS s2 FROM l JOIN f x ON x.alias = c0 JOIN f y ON y.alias = c1 GROUP BY 1""",
         "alias_projection": f"WITH {ALIAS_COLS} SELECT uid, trim(name) AS name, lower(email) AS email, nullif(prefix, '') AS prefix, domain, domain_main FROM a2",
-        "leet_map": "SELECT doc_id, translate(substring(text, 1, 200), '01345789$|<€£', 'oieastbgsicel') AS v FROM documents",
+        "leet_map": "SELECT doc_id, translate(text, '01345789$|<€£', 'oieastbgsicel') AS v FROM documents",
         "universal_map": f"SELECT doc_id, translate({_replace_sql('lower(text)', T.ONE_TO_MANY)}, '{T.ONE_TO_ONE[0]}', '{T.ONE_TO_ONE[1]}') AS v FROM documents",
         "title_strip": f"SELECT p_partkey, array_to_string(list_filter(string_split('dr ' || lower(p_name) || ' jr.', ' '), lambda w: w NOT IN ({TITLE_LIST})), ' ') AS v FROM part",
         "year_strip": "SELECT p_partkey, trim(regexp_replace(" + _strip_sql(r"regexp_replace(regexp_replace('13:37:28 gmt 1999 ' || lower(p_name) || ' 2020', '^\s*\d+:\d+:\d+\s+', ''), '\s+\d+:\d+:\d+\s*$', '')") + r", '\s+', ' ', 'g')) AS v FROM part",
@@ -431,8 +446,8 @@ def oracle_sql() -> dict[str, str]:
         "author_single_owner": f"WITH {owner} SELECT owner, author FROM d QUALIFY count(*) OVER (PARTITION BY author) = 1",
         "owners_per_author_hist": f"WITH {owner}, c AS (SELECT author, count(*) AS owners FROM d GROUP BY 1) SELECT owners, count(*) AS authors FROM c WHERE owners > 1 GROUP BY 1",
         "parse_signature": f"WITH {ALIAS_COLS} SELECT uid, name, email, email AS at_end FROM a",
-        "gt_matrix_pairs": "SELECT vec_id AS id1, CAST(j - 1 AS BIGINT) AS id2, CAST(embedding[j] > 0 AS INT) AS label FROM embeddings, generate_series(1, 4096) t(j) WHERE vec_id < 16 AND j <= len(embedding) AND j - 1 > vec_id",
-        "gt_dre_pairs": """WITH e AS (SELECT 'w' || user_id AS w, min(event_id) AS pos, min_by(event_type, event_id) AS dre FROM events WHERE user_id < 40 GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS id FROM e)
+        "gt_matrix_pairs": "SELECT vec_id AS id1, CAST(j - 1 AS BIGINT) AS id2, CAST(embedding[j] > 0 AS INT) AS label FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS j FROM embeddings) WHERE j - 1 > vec_id",
+        "gt_dre_pairs": """WITH e AS (SELECT 'w' || user_id AS w, min(event_id) AS pos, min_by(event_type, event_id) AS dre FROM events GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS id FROM e)
           SELECT x.id AS id1, y.id AS id2, CAST(x.dre = y.dre AS INT) AS label FROM i x JOIN i y ON x.id < y.id""",
         "assignment_parse": "WITH l AS (SELECT doc_id, string_split(source || (CASE WHEN doc_id % 11 = 0 THEN '' ELSE ';' END) || lang || (CASE WHEN doc_id % 13 = 0 THEN ';x' ELSE '' END), ';') AS p FROM documents) SELECT p[1] AS searched, max_by(p[2], doc_id) AS assigned FROM l WHERE len(p) = 2 GROUP BY 1",
         "pair_confusion": f"WITH {TRUTH_SQL}, {COUNT_SQL} SELECT * FROM m",

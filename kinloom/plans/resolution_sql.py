@@ -56,22 +56,26 @@ def _unstamped(c: str) -> str:
     return c
 
 
-def norm(texts: str) -> str:
-    """CTEs up to ``forms`` (text, form): the normal forms of the texts of a relation with a column text."""
+def norm(texts: str, single: bool = False) -> str:
+    """CTEs up to ``forms`` (text, form): the normal forms of the texts of a relation with a column text; with
+    ``single`` the one form that flags are about, read as leetspeak and German only where an ß stands."""
+    leet = f"SELECT text, translate(lower(text), '{T.LEET[0]}', '{T.LEET[1]}') AS x FROM n1"
+    two = leet if single else f"SELECT text, lower(text) AS x FROM n1 UNION {leet}"
+    five = f"SELECT text, CASE WHEN contains(lower(text), 'ß') THEN {_replaced('x', T.GERMAN)} ELSE x END AS x FROM n4" if single else f"SELECT text, x FROM n4 UNION SELECT text, {_replaced('x', T.GERMAN)} FROM n4"
     words = r"list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')"
     marks = T.PUNCTUATION.replace("'", "''")
     return rf"""n1 AS (SELECT DISTINCT text FROM ({texts}) WHERE text IS NOT NULL),
-  n2 AS (SELECT text, lower(text) AS x FROM n1 UNION SELECT text, translate(lower(text), '{T.LEET[0]}', '{T.LEET[1]}') FROM n1),
+  n2 AS ({two}),
   n3 AS (SELECT text, {_unstamped("x")} AS x FROM n2),
   n4 AS (SELECT DISTINCT text, array_to_string(list_filter({words}, lambda w: w NOT IN ({_listed(T.TITLES)})), ' ') AS x FROM n3),
-  n5 AS (SELECT text, x FROM n4 UNION SELECT text, {_replaced("x", T.GERMAN)} FROM n4),
+  n5 AS ({five}),
   n6 AS (SELECT DISTINCT text, strip_accents(translate({_replaced("x", T.ONE_TO_MANY)}, '{T.ONE_TO_ONE[0]}', '{T.ONE_TO_ONE[1]}')) AS x FROM n5),
   n7 AS (SELECT text, regexp_replace(x, '{marks}', '', 'g') AS x FROM n6),
   n8 AS (SELECT text, {words} AS ws FROM n7),
   forms AS (SELECT DISTINCT text, array_to_string(CASE WHEN len(ws) = 3 AND length(ws[2]) = 1 THEN [ws[1], ws[3]] ELSE ws END, ' ') AS form FROM n8)"""
 
 
-def keys(more: bool, config: Config) -> str:
+def keys(more: bool, config: Config, people: str = PEOPLE.replace("WORDS", WORDS_SQL)) -> str:
     """CTEs up to ``k`` (kind, key, uid, n): the blocking keys of PEOPLE. Without ``more`` there are no logins and places."""
     marks = lambda c, to, digit, extra="": rf"trim(CASE WHEN {digit} THEN regexp_replace({c}, '[{extra}.\-_+]', '{to}', 'g') ELSE regexp_replace({c}, '[{extra}.\-_\d+]', '{to}', 'g') END)"
     digit, name_digit = "regexp_matches(prefix, '^[0-9]')", "regexp_matches(lower(name), '^[0-9]')"
@@ -121,7 +125,7 @@ def keys(more: bool, config: Config) -> str:
         f"SELECT 'mail_last', x.form || {SEP} || substring(y.form, 1, 1), al.uid FROM al {first} {last} JOIN sf p ON p.uid = al.uid AND p.slot = 'prefix' WHERE n >= 2 AND length(p.form) >= {config.thr_min_length} AND p.form = x.form || substring(y.form, 1, 1)",
         of("normal", "name", fits), of("turned", "turned", fits),
     ]
-    return rf"""people AS ({PEOPLE.replace("WORDS", WORDS_SQL)}),
+    return rf"""people AS ({people}),
   a0 AS (SELECT uid, trim(name) AS name, lower(trim(email)) AS e, {optional} FROM people),
   a1 AS (SELECT uid, name, login, location, CASE WHEN NOT (e = '' OR e = 'none' OR {placeholder}) THEN e END AS email FROM a0),
   a2 AS (SELECT *, nullif(split_part(email, '@', 1), '') AS prefix, nullif(split_part(email, '@', -1), '') AS domain, string_split(split_part(email, '@', -1), '.') AS labels, list_filter(string_split_regex(name, '\s+'), lambda w: w <> '') AS words FROM a1),
@@ -158,7 +162,8 @@ def rules(more: bool, config: Config, only: str = "") -> dict[str, list[str]]:
     placed = f"""(SELECT al.uid, location, name FROM al JOIN k l ON l.uid = al.uid AND l.kind = 'location' AND l.n > {low} LEFT JOIN (SELECT DISTINCT key, n AS size FROM k WHERE kind = 'name') s ON s.key = al.name
       WHERE al.n > 1 AND al.name NOT IN ({listed}) AND coalesce(size, 0) < {high})"""
     out = {
-        "EMAIL": [met("EMAIL", "email", "email", f"x.n > {low} AND {new}", "<")],
+        # an address that more than THR_MAX aliases share links all of them with the first one
+        "EMAIL": [met("EMAIL", "email", "email", f"x.n > {low} AND x.n <= {high} AND {new}", "<"), f"SELECT y.uid, x.uid, 'EMAIL' FROM k x JOIN (SELECT key, min(uid) AS uid FROM k WHERE kind = 'email' GROUP BY 1) y ON x.key = y.key AND x.uid <> y.uid WHERE x.kind = 'email' AND x.n > {high} AND {new}"],
         "COMP_EMAIL_PREFIX": [met("COMP_EMAIL_PREFIX", "comp_prefix", "comp_prefix", f"{block} AND {clean}", "<")],
         "SIMPLE_EMAIL_PREFIX": [met("SIMPLE_EMAIL_PREFIX", "prefix", "prefix", f"{block} AND {clean}", "<")],
         "PREFIX_LOGIN": [met("PREFIX_LOGIN", "login", "prefix", f"y.n < {high} AND {clean}", "<")],
@@ -236,6 +241,35 @@ def represented(config: Config) -> str:
   rep AS (SELECT uid, rep_uid FROM r1 JOIN r2 USING (cid) WHERE valid AND uid <> rep_uid UNION ALL SELECT uid, rep_uid FROM s1 WHERE size > 1 AND (ill = 0 OR least_ill = 1) AND uid <> rep_uid)"""
 
 
+def flags(aliases: str, config: Config) -> str:
+    """The twelve flags of a relation (uid, name, email)."""
+    has = lambda c, terms: f"coalesce({c} IN ({_listed(terms)}), FALSE)"
+    mailed = lambda terms: " OR ".join(has(c, terms) for c in ("email", "domain", "prefix"))
+    c, generic = config, _listed(config.blacklist_generic_terms)
+    pieces = " OR ".join(f"len(list_filter(string_split(prefix, '{m}'), lambda x: x IN ({generic}))) > 0" for m in "._")
+    splits = ", ".join(f"string_split(lower(name), '{m}')" for m in " _.+")
+    values = {
+        "name_git": has("w", c.blacklist_git_hosting), "name_email_provider": has("w", c.blacklist_email_providers), "name_first": "FALSE",
+        "name_generic": f"{has('w', c.blacklist_generic_terms)} OR g.uid IS NOT NULL", "name_missing": has("w", c.blacklist_no_names), "name_machine": has("w", c.blacklist_machine_names), "name_privacy": has("w", c.blacklist_privacy_emails),
+        "email_git": mailed(c.blacklist_git_hosting), "email_generic": f"{mailed(c.blacklist_generic_terms)} OR coalesce(regexp_matches(prefix, '[._]') AND ({pieces}), FALSE)",
+        "email_missing": mailed(c.blacklist_no_names), "email_machine": mailed(c.blacklist_machine_names), "email_privacy": mailed(c.blacklist_privacy_emails),
+    }
+    placeholder = " OR ".join(f"ends_with(e, '{x}')" for x in T.FAKE_ENDINGS)
+    return f"""WITH f0 AS (SELECT uid, coalesce(trim(name), '') AS name, lower(trim(email)) AS e FROM ({aliases})), f1 AS (SELECT uid, name, CASE WHEN NOT (e = '' OR e = 'none' OR {placeholder}) THEN e END AS email FROM f0),
+  f2 AS (SELECT *, nullif(split_part(email, '@', 1), '') AS prefix, nullif(split_part(email, '@', -1), '') AS domain FROM f1),
+  pieces AS (SELECT uid, unnest(list_concat({splits})) AS text FROM f2 WHERE regexp_matches(name, '[ _.+]')),
+  {norm("SELECT lower(name) AS text FROM f2 UNION ALL SELECT text FROM pieces", True)},
+  g AS (SELECT DISTINCT uid FROM pieces JOIN forms USING (text) WHERE text <> '' AND form IN ({generic})), w AS (SELECT f2.*, form AS w FROM f2 JOIN forms ON forms.text = lower(name))
+  SELECT w.uid, {", ".join(f"CASE WHEN length(name) >= 3 THEN {v} END AS {k}" for k, v in values.items())} FROM w LEFT JOIN g ON g.uid = w.uid"""
+
+
+def privacy(lines: str) -> str:
+    """How many keys of each kind are left of noreply signatures whose aliases stay out of the indexes."""
+    people = rf"SELECT DISTINCT author AS uid, trim(split_part(author, '<', 1)) AS name, regexp_extract(author, '<([^>]*)>', 1) AS email FROM ({lines})"
+    hidden = _listed(["email", "prefix", "comp_prefix", "login", "name", "domain", "domain_main", "location"])
+    return f"WITH {keys(False, Config(), people)} SELECT kind, count(*) AS n FROM k JOIN al USING (uid) WHERE NOT (coalesce(domain = 'users.noreply.github.com', FALSE) AND kind IN ({hidden})) GROUP BY 1"
+
+
 def oracle() -> dict[str, str]:
     config = Config()
     flat = "a, b, array_to_string(rules, ',') AS rules, array_to_string(accepted, ',') AS accepted"
@@ -245,5 +279,7 @@ def oracle() -> dict[str, str]:
         "rule_label_counts": f"WITH {judged(config)} SELECT * FROM lab",
         "cluster_validity": f"WITH {judged(config)} SELECT * FROM v",
         "representative": f"WITH {represented(config)} SELECT * FROM rep",
+        "weird_flags": flags(PEOPLE.replace("WORDS", WORDS_SQL), config),
+        "normalize_forms": f"WITH {norm('SELECT name AS text FROM (' + PEOPLE.replace('WORDS', WORDS_SQL) + ')')} SELECT text AS name, form FROM forms",
         "resolve_identities": f"WITH {represented(config)} SELECT al.uid, coalesce(rep_uid, al.uid) AS rep_uid FROM al LEFT JOIN rep ON rep.uid = al.uid",
     }

@@ -35,12 +35,12 @@ def parse_signature(c: Column) -> Column:
 
 
 def _numbered(df: DataFrame, by: list[str], pos: str, name: str) -> DataFrame:
-    """Distinct rows, numbered from 1 by first appearance. Ranks are counted per range of
+    """Distinct rows, numbered from 1 by first appearance, those of one place by their values. Ranks are counted per range of
     positions and summed over ranges, so no task orders all rows."""
     first = df.groupBy(*by).agg(F.min(pos).alias("_pos")).repartitionByRange("_pos").withColumn("_part", F.spark_partition_id())
     first = first.persist()
     before = first.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_pos"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_pos", *by))
     return first.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, (rank + F.col("_before")).cast("long")).drop("_part", "_before", "_pos")
 
 
@@ -122,9 +122,14 @@ def dre_pairs(df: DataFrame) -> DataFrame:
     return _all_pairs(ids, "dre_id")
 
 
-def _all_pairs(ids: DataFrame, same: str) -> DataFrame:
-    a, b = (ids.select(F.col("id").alias(f"id{k}"), F.col(same).alias(f"s{k}")) for k in (1, 2))
-    return a.join(b, F.col("id1") < F.col("id2")).select("id1", "id2", (F.col("s1") == F.col("s2")).cast("int").alias("label"))
+def _all_pairs(ids: DataFrame, same: str, block: int = 2048) -> DataFrame:
+    """All pairs of (id, ...), equal or not in ``same``, with ids from 0: blocks of ids meet by an equi-join, so a
+    task holds two blocks however many ids there are."""
+    of = F.floor(F.col("id") / block)
+    last = F.lit(max(0, (ids.agg(F.max("id")).first()[0] or 0) // block))
+    a = ids.select(F.col("id").alias("id1"), F.col(same).alias("s1"), of.alias("b1"), F.explode(F.sequence(of, last)).alias("b2"))
+    b = ids.select(F.col("id").alias("id2"), F.col(same).alias("s2"), of.alias("b2"), F.explode(F.sequence(F.lit(0).cast("long"), of)).alias("b1"))
+    return a.join(b, ["b1", "b2"]).where("id1 < id2").select("id1", "id2", (F.col("s1") == F.col("s2")).cast("int").alias("label"))
 
 
 def wiese(df: DataFrame) -> DataFrame:
