@@ -11,7 +11,7 @@ from kinloom.config import LABELS, Config
 from kinloom.functions import text as T
 from kinloom.operators.components import connected_components
 from kinloom.operators.keys import FLAGS, SEP, aliases, key_rows
-from kinloom.plans.scratch import Scratch
+from kinloom.plans.scratch import BROADCAST_ROWS, HOT_ROWS, Scratch, left_join_hot
 
 STRONG = ("FULL_NAME", "SWITCHED_NAME", "COMP_EMAIL_PREFIX", "PREFIX_NAME", "DOMAIN_NAME_MATCH", "GITHUB_USERNAME_MATCH", "COMMA_SUFFIX_MATCH", "ABBREV_FIRST_NAME", "ABBREV_LAST_NAME", "ABBREV_MIDDLE_NAME")
 
@@ -54,8 +54,8 @@ RULES = (
 )
 
 
-def _guards(config: Config) -> dict[str, Column]:
-    key = F.col("key")
+def _guards(config: Config, name: str = "key") -> dict[str, Column]:
+    key = F.col(name)
     terms = config.blacklist(config.blacklist_include_first_names)
     names = [n.lower() for n in config.first_names]
     not_first = lambda part: ~F.lower(part).isin(names) if names else F.lit(True)
@@ -70,9 +70,11 @@ def _guards(config: Config) -> dict[str, Column]:
     }
 
 
-def sized_keys(keys: DataFrame) -> DataFrame:
-    """Adds n, the number of aliases of each block."""
-    return keys.join(keys.groupBy("grp", "kind", "key").agg(F.count(F.lit(1)).alias("n")), ["grp", "kind", "key"])
+def sized_keys(keys: DataFrame, s: Scratch, hot_rows: int = HOT_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Adds n, the number of aliases of each block. A block of many aliases never meets in one task."""
+    by, keys = ["grp", "kind", "key"], s.table(keys, "keys")
+    sizes = s.table(keys.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    return left_join_hot(keys, sizes.withColumn("_n", F.col("n")), by, "_n", keys.count(), hot_rows, broadcast_rows).drop("_n")
 
 
 def _pairs(left: DataFrame, right: DataFrame, label: str, where: Column | None = None, order: str = "<>") -> DataFrame:
@@ -86,7 +88,7 @@ def _pairs(left: DataFrame, right: DataFrame, label: str, where: Column | None =
 def rule_pairs(rule: Rule, keys: DataFrame, a: DataFrame, config: Config) -> DataFrame:
     """(grp, a, b, rule) of one rule; blocks are cut to size before they are paired."""
     low, high, label = config.thr_min, config.thr_max, LABELS.get(rule.option, rule.option)
-    k = keys.where(_guards(config)[rule.guard]).select("grp", "kind", "key", "uid", "n")
+    k = keys.where(F.col("kind").isin(rule.left, rule.right)).where(_guards(config)[rule.guard]).select("grp", "kind", "key", "uid", "n")
     left, right = (k.where(F.col("kind") == x).drop("kind") for x in (rule.left, rule.right))
     inside = lambda d: d.where((F.col("n") > low) & (F.col("n") < high))
     under = lambda d: d.where(F.col("n") < high)
@@ -122,21 +124,61 @@ def rule_pairs(rule: Rule, keys: DataFrame, a: DataFrame, config: Config) -> Dat
     return _pairs(left, right, label, where, rule.order)
 
 
+def _bounded(rule: Rule) -> bool:
+    """Whether both sides' blocks are below THR_MAX and keys are all that the rule compares."""
+    return rule.cap in ("one", "sum", "both") and rule.option not in ("DOMAIN_MAIN_PART", "COMMA_SUFFIX_MATCH")
+
+
+def block_pairs(rules: list[Rule], keys: DataFrame, config: Config) -> DataFrame:
+    """(grp, a, b, rule) of the bounded rules in one exchange: key rows are copied to their rules' sides, and each
+    block, of fewer than THR_MAX aliases a side, gives its pairs where it is gathered."""
+    low, high, n = config.thr_min, config.thr_max, F.col("n")
+    sides = []
+    for i, r in enumerate(rules):
+        ok = (n > low) & (n < high) if r.cap == "one" else n < high
+        for side, kind in enumerate((r.left,) if r.left == r.right else (r.left, r.right)):
+            sides.append(F.when((F.col("kind") == kind) & ok, F.struct(F.lit(i).alias("r"), F.lit(side).alias("side"))))
+    rows = keys.select("grp", "key", "uid", F.inline(F.array_compact(F.array(*sides))))
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("uid"))))
+    blocks = rows.groupBy("grp", "r", "key").agg(of(0).alias("x"), of(1).alias("y"), F.first("key").alias("text"))
+    at = lambda values: F.get(F.array(*map(F.lit, values)), F.col("r"))
+    total = F.size("x") + F.size("y")
+    blocks = blocks.withColumn("one", at([r.left == r.right for r in rules]))
+    blocks = blocks.where(F.col("one") | ~at([r.cap == "sum" for r in rules]) | ((total > low) & (total < high)))
+    blocks = blocks.withColumn("y", F.when(F.col("one"), F.col("x")).otherwise(F.col("y"))).where((F.size("x") > 0) & (F.size("y") > 0))
+    # guards look at the key alone, so they are tested once a block that has pairs; as a filter by the key they would
+    # be tested once a row
+    passed = F.lit(True)
+    for name, test in _guards(config, "text").items():
+        if mine := [i for i, r in enumerate(rules) if name and r.guard == name]:
+            passed = F.when(F.col("r").isin(mine), test).otherwise(passed)
+    blocks = blocks.where(passed)
+    less = at([r.order == "<" for r in rules])
+    p = blocks.select("grp", less.alias("less"), at([LABELS.get(r.option, r.option) for r in rules]).alias("rule"), F.explode("x").alias("uid"), "y")
+    p = p.select("grp", "less", "rule", "uid", F.explode("y").alias("other")).where((F.col("uid") < F.col("other")) | (~F.col("less") & (F.col("uid") != F.col("other"))))
+    return p.select("grp", F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b"), "rule")
+
+
 def candidate_pairs(a: DataFrame, keys: DataFrame, config: Config) -> DataFrame:
-    """All (grp, a, b, rule) rows of the enabled rules; ``keys`` has block sizes."""
-    found = [rule_pairs(r, keys, a, config) for r in RULES if config.has(r.option)]
+    """All (grp, a, b, rule) rows of the enabled rules; ``keys`` has block sizes. Rules whose kinds of keys
+    nobody has are not joined."""
+    kinds = {r[0] for r in keys.select("kind").distinct().collect()}
+    on = [r for r in RULES if config.has(r.option) and {r.left, r.right} <= kinds]
+    found = [rule_pairs(r, keys, a, config) for r in on if not _bounded(r)]
+    if bounded := [r for r in on if _bounded(r)]:
+        found.append(block_pairs(bounded, keys, config))
     high = config.thr_max
-    if config.has("SWITCHED_NAME"):
+    if config.has("SWITCHED_NAME") and "normal" in kinds:
         normal = keys.where((F.col("kind") == "normal") & (F.col("n") < high)).select("grp", "key", "uid")
         other = F.concat_ws(" ", F.substring_index("key", " ", -1), F.substring_index("key", " ", 1))
         found.append(_pairs(normal.where(F.col("key") != other), normal.withColumn("key", other).where(F.col("key") != F.concat_ws(" ", F.substring_index("key", " ", -1), F.substring_index("key", " ", 1))), "SWITCHED_NAME"))
-    if config.has("DOMAIN_NAME_MATCH"):
+    if config.has("DOMAIN_NAME_MATCH") and "site_prefix_name" in kinds:
         # each full key belongs to the alias that comes last; roles of its parts are exchanged
         owner = keys.where("kind = 'site_prefix_name'").groupBy("grp", "key").agg(F.max("uid").alias("uid"))
         part = lambda i: F.get(F.split("key", SEP), F.lit(i))
         for d, p, f, l in ((3, 2, 0, 1), (2, 3, 0, 1)):
             found.append(_pairs(owner.withColumn("key", F.concat_ws(SEP, part(d), part(p), part(f), part(l))), owner, "DOMAIN_NAME_MATCH"))
-    if config.has("LOCATION"):
+    if config.has("LOCATION") and "location" in kinds:
         terms = config.blacklist(config.blacklist_include_first_names)
         names = keys.where("kind = 'name'").select("grp", F.col("key").alias("name"), "n").distinct()
         placed = keys.where("kind = 'location'").where(F.col("n") > config.thr_min).select("grp", F.col("key").alias("place"), "uid")
@@ -144,8 +186,8 @@ def candidate_pairs(a: DataFrame, keys: DataFrame, config: Config) -> DataFrame:
         placed = placed.join(names, ["grp", "name"], "left").where(F.coalesce("n", F.lit(0)) < high)
         placed = placed.select("grp", F.concat_ws(SEP, "place", "name").alias("key"), "uid")
         found.append(_pairs(placed, placed, "LOCATION", None, "<"))
-    out = found[0]
-    for f in found[1:]:
+    out = keys.sparkSession.createDataFrame([], "grp string, a long, b long, rule string")
+    for f in found:
         out = out.union(f)
     return out
 
@@ -244,7 +286,7 @@ def resolve(df: DataFrame, config: Config | None = None, group: str | None = Non
     """
     s, config = scratch or Scratch(df.sparkSession), config or Config()
     a = s.table(aliases(df, config, group), "aliases")
-    keys = s.table(sized_keys(key_rows(a, config)), "keys")
+    keys = s.table(sized_keys(key_rows(a, config), s), "keys")
     decided = decide(clues(candidate_pairs(a, keys, config)))
     members, counts = clusters(decided, s)
     mapped = representatives(a, members, validity(a, members, counts, config), "location" in df.columns)

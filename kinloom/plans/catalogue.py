@@ -111,7 +111,7 @@ def _docs(f: Callable[[DataFrame], DataFrame]) -> Query:
 def _prepared(spark: SparkSession, sf_dir: str, config: Config, more: bool = True, view=people_view):
     s = Scratch(spark)
     a = s.table(aliases(view(spark, sf_dir, more), config), "aliases")
-    return s, a, s.table(resolve.sized_keys(key_rows(a, config)), "keys")
+    return s, a, s.table(resolve.sized_keys(key_rows(a, config), s), "keys")
 
 
 def rule_query(option: str) -> Query:

@@ -8,8 +8,10 @@ from kinloom.functions import text as T
 from kinloom.functions.normalize import normaliser
 from kinloom.operators import evaluate, resolve
 from kinloom.operators.components import connected_components
-from kinloom.operators.keys import aliases
+from kinloom.operators.keys import aliases, key_rows
 from kinloom.plans import catalogue
+from kinloom.plans.scratch import Scratch
+from kinloom.sources import parsers, sinks
 
 ALIASES = [
     (1, "Jürgen Müller", "j.mueller@firm.de"), (2, "Juergen Mueller", "juergen@home.org"), (3, "Ana Quill", "ana.quill@a.org"), (4, "aquill", "ANA.QUILL@a.org"),
@@ -123,8 +125,33 @@ def test_bootstrap_query_draws_all_resamples(spark, monkeypatch):
     assert catalogue.queries()["ci_bootstrap"](spark, "/root/testdata/sf0.001").count() > 0 and seen == [10_000]
 
 
-def test_email_blocks_above_the_cap_are_stars(spark, tmp_path):
-    rows = [(i, "one two", "big", "en") for i in range(41)] + [(100 + i, "one two", "few", "en") for i in range(40)]
-    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.a, r.b) for r in catalogue.queries()["rule_email"](spark, str(tmp_path)).collect()}
+@pytest.mark.parametrize("bounds", [{}, {"hot_rows": 2, "broadcast_rows": 0}])
+def test_email_blocks_above_the_cap_are_stars(spark, bounds):
+    rows = [(1 + i, f"n{i}", "big@a.org") for i in range(41)] + [(101 + i, f"n{i}", "few@a.org") for i in range(40)]
+    s, config = Scratch(spark), Config(rules=frozenset(["EMAIL"]))
+    a = s.table(aliases(frame(spark, rows), config))
+    keys = resolve.sized_keys(key_rows(a, config), s, **bounds)
+    assert {r.key: r.n for r in keys.where("kind = 'email'").collect()} == {"big@a.org": 41, "few@a.org": 40}
+    got = {(r.a, r.b) for r in resolve.candidate_pairs(a, keys, config).collect()}
     assert got == {(1, 1 + i) for i in range(1, 41)} | {(101 + i, 101 + j) for j in range(40) for i in range(j)}
+
+
+def test_all_pairs_in_blocks(spark):
+    ids = spark.createDataFrame([(i, f"s{i % 3}") for i in range(11)], "id long, s string")
+    want = sorted((i, j, int(i % 3 == j % 3)) for j in range(11) for i in range(j))
+    assert [sorted(map(tuple, parsers._all_pairs(ids, "s", b).collect())) for b in (1, 4, 2048)] == [want] * 3
+
+
+def test_report_and_file(spark, tmp_path):
+    df = frame(spark).withColumn("login", F.lit(None).cast("string"))
+    s, config = Scratch(spark), Config()
+    a = s.table(aliases(df, config))
+    out = resolve.report(df, resolve.resolve(df, config), a, "proj")
+    rows = {r.original_author_id: r for r in out.collect()}
+    assert rows["aquill <ANA.QUILL@a.org>"].dealiased_author_id == "Ana Quill <ana.quill@a.org>" and rows["admin <admin@s.org>"].project == "proj"
+    assert rows["admin <admin@s.org>"].is_original_author_weird_id == "(False, False, False, True, False, False, False, False, True, False, False, False)"
+    path = str(tmp_path / "out")
+    for _ in range(2):
+        sinks.write_resolution(out.drop("username"), path, append=True, drop_flags=True)
+    back = spark.read.csv(path, sep=";", header=True)
+    assert back.columns == ["project", "original_author_id", "dealiased_author_id"] and back.count() == 2 * len(ALIASES)
