@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.operators.components import connected_components
+
 RATIOS = ("precision", "recall", "f1", "accuracy", "balanced_accuracy", "splitting", "lumping")
 
 
@@ -19,6 +21,19 @@ def assigned(aliases: DataFrame, assignments: DataFrame) -> DataFrame:
     return aliases.join(assignments.withColumnRenamed("searched", "alias"), "alias", "left").withColumn("cluster", F.coalesce("assigned", "alias")).drop("assigned")
 
 
+def mapped(aliases: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(id, cluster) of aliases (id, alias) from a mapping (source, target) of aliases, closed transitively: chains and
+    cycles of the mapping are one cluster, an alias without one is its own. A cluster is called as its least alias."""
+    of = connected_components(mapping, "source", "target")
+    return aliases.join(of.withColumnRenamed("node", "alias"), "alias", "left").select("id", F.coalesce("label", "alias").alias("cluster"))
+
+
+def external(aliases: DataFrame, authors: DataFrame) -> DataFrame:
+    """(id, cluster) from another tool's rows (id, author_id) in the aliases' order; aliases that it left out are their own."""
+    own = F.concat(F.lit("own "), F.col("id").cast("string"))
+    return aliases.select("id").join(authors.select("id", F.col("author_id").cast("string").alias("author_id")), "id", "left").select("id", F.coalesce("author_id", own).alias("cluster"))
+
+
 def coverage(aliases: DataFrame, assignments: DataFrame) -> DataFrame:
     d = aliases.select("alias").distinct().join(assignments.withColumnRenamed("searched", "alias"), "alias", "left")
     return d.agg(F.count(F.lit(1)).alias("authors"), F.count("assigned").alias("mapped")).withColumn("coverage", ratio(F.col("mapped"), F.col("authors")))
