@@ -40,7 +40,7 @@ from kinloom.llm.text import slices, worker_cache
 #: Characters of a chunk.
 CHUNK = 1 << 16
 #: Transitions over one character and over several that a worker keeps, and the latter's characters.
-KEEP_SINGLE, KEEP_COMPOSED, KEEP_CHARS = 900_000, 900_000, 48
+KEEP_SINGLE, KEEP_COMPOSED, KEEP_CHARS = 600_000, 600_000, 48
 #: What follows an apostrophe in a contraction of byte-level BPE's pre-tokenizer.
 SHORT, LONG = "stmd", {"r": "e", "v": "e", "l": "l"}
 #: Stretches that end with blanks, so that they begin in few states.
