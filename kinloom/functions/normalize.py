@@ -8,6 +8,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kinloom.config import Config
@@ -78,6 +79,25 @@ def forms_udf(config: Config):
     return forms
 
 
+def unicode_udf(form: str = "NFC", marks: bool = True):
+    """string -> string in a Unicode normal form, without combining marks if ``marks`` is false."""
+
+    @F.pandas_udf("string")
+    def normal(texts: pd.Series) -> pd.Series:
+        def of(text):
+            text = unicodedata.normalize(form, text)
+            return text if marks else "".join(c for c in text if unicodedata.category(c) != "Mn")
+
+        return texts.map(lambda t: None if t is None else of(t))
+
+    return normal
+
+
+def clean_text(c: Column) -> Column:
+    """NFC, without control characters."""
+    return T.drop_controls(unicode_udf()(c))
+
+
 def single_udf(config: Config):
     """array<string> -> array<string>: normal forms by the configured leetspeak and no domain."""
 

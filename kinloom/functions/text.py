@@ -175,5 +175,29 @@ def error_head(c: Column) -> Column:
 
 
 def quote_csv(c: Column) -> Column:
-    has = F.contains(c, F.lit('"'))
+    """A CSV field: quote marks doubled, and the whole in marks if it has one or a comma."""
+    has = F.contains(c, F.lit('"')) | F.contains(c, F.lit(","))
     return F.when(has, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
+def _relation_line(value: Column, field) -> Column:
+    """``repo;author`` without control characters and with both fields trimmed and changed; null without the mark."""
+    v = F.regexp_replace(value, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")
+    repo, author = F.substring_index(v, ";", 1), F.regexp_replace(v, "^[^;]*;", "")
+    return F.when(F.contains(v, F.lit(";")), F.concat(field(strip(repo)), F.lit(";"), field(strip(author))))
+
+
+def quoted_line(value: Column) -> Column:
+    """The first pass over a ``repo;author`` line: fields as CSV."""
+    return _relation_line(value, quote_csv)
+
+
+def plain_line(value: Column) -> Column:
+    """The second pass: fields without quote marks."""
+    return _relation_line(value, lambda c: F.replace(c, F.lit('"')))
+
+
+def is_abbreviation(short: Column, full: Column) -> Column:
+    """Whether ``short`` is one character, dots aside, with which ``full`` begins, in any case."""
+    low = lambda c: F.lower(strip(F.replace(c, F.lit("."))))
+    return (F.length(low(short)) == 1) & F.startswith(low(full), low(short))

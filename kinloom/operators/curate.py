@@ -15,6 +15,12 @@ def split_utf8(df: DataFrame, column: str = "value") -> tuple[DataFrame, DataFra
     return df.where(ok), df.where(~ok)
 
 
+def invalid_lines(df: DataFrame) -> DataFrame:
+    """(line_number, line) of (pos, raw) rows that aren't UTF-8: ``number:content``, the content read as Latin-1."""
+    bad = df.where(~F.is_valid_utf8(F.col("raw").cast("string")))
+    return bad.select(F.col("pos").alias("line_number"), F.concat(F.col("pos").cast("string"), F.lit(":"), F.decode("raw", "ISO-8859-1")).alias("line"))
+
+
 def line_qa(df: DataFrame) -> DataFrame:
     """Adds errors (array) and clean to (pos, value)."""
     return df.withColumn("errors", T.line_errors(F.col("value"))).withColumn("clean", F.size("errors") == 0)

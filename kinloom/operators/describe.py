@@ -73,3 +73,40 @@ def core_contributors(commits: DataFrame, share: float = 0.8) -> DataFrame:
     total = F.sum("mass").over(Window.partitionBy("project"))
     h = h.withColumn("before", F.sum("mass").over(w) - F.col("mass")).withColumn("core", F.col("before") < share * total)
     return commits.join(h.select("project", "n", "core"), ["project", "n"])
+
+
+# Steps and descriptions of the summary file.
+SUMMARY = {
+    "authors_in": ("Total author strings", "Original author strings in input data"),
+    "authors": ("Unique author strings", "Unique author strings"),
+    "projects": ("Total unique projects", "Unique projects"),
+    "emails": ("Unique emails (cleaned)", "Unique email addresses (cleaned during extraction)"),
+    "usernames": ("Unique username strings", "Unique username strings extracted from emails"),
+    "ids": ("Unique numeric IDs", "Unique numeric IDs extracted from id+username patterns"),
+    "with_id": ("Usernames with ID prefix", "Usernames with digit+username pattern"),
+    "without_id": ("Usernames without ID prefix", "Usernames without ID prefix"),
+    "prefixes": ("ID prefixes found", "Total ID+ patterns detected"),
+    "merged": ("Unique usernames (merged)", "Unique usernames after merging ID+ with plain"),
+    "merges": ("Successful merges", "Cases where ID+ and plain versions were merged"),
+    "reduction": ("Reduction from merging", "Username count reduction from merging"),
+}
+
+
+def noreply_files(users: DataFrame) -> dict[str, DataFrame]:
+    """The seven result files of noreply users by name, each with its columns; rows in no order."""
+    one = lambda c, name: users.select(F.col(c).alias(name)).where(F.col(name).isNotNull()).distinct()
+    v = username_variants(users)
+    names = v.select(F.col("plain").alias("username"), F.col("n").alias("variant_count"), F.replace("variants", F.lit("; "), F.lit(";")).alias("variants"), F.col("has_id").alias("has_id_prefix"), F.col("has_plain").alias("has_plain_form"), "merged")
+    distinct = lambda c, test=F.lit(True): F.count_distinct(F.when(test, F.col(c)))
+    has_id = F.col("numeric_id").isNotNull()
+    counts = users.agg(
+        F.count("author").alias("authors_in"), distinct("author").alias("authors"), distinct("project").alias("projects"), distinct("email").alias("emails"), distinct("username").alias("usernames"),
+        distinct("numeric_id").alias("ids"), distinct("username", has_id).alias("with_id"), distinct("username", ~has_id).alias("without_id"), distinct("username", has_id).alias("prefixes"),
+    )
+    merges = v.agg(F.count(F.lit(1)).alias("merged"), F.count_if("merged").alias("merges"))
+    counts = counts.join(F.broadcast(merges)).withColumn("reduction", F.col("usernames") - F.col("merged"))
+    rows = [F.struct(F.lit(step).alias("step"), F.col(c).alias("count"), F.lit(text).alias("description")) for c, (step, text) in SUMMARY.items()]
+    return {
+        "uniqueAuthorStrings": one("author", "author_string"), "uniqueEmailStrings": one("email", "email"), "uniqueUsernameStrings": one("username", "username_string"), "uniqueUsernames": names,
+        "uniqueNumericIds": one("numeric_id", "numeric_id"), "uniqueProjects": one("project", "project"), "summary": counts.select(F.inline(F.array(*rows))),
+    }

@@ -169,3 +169,10 @@ def bootstrap_intervals(long: DataFrame, resamples: int = 10_000, ci: float = 0.
     means = d.withColumn("w", cut).groupBy("metric", "b").agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("m"))
     low, high = (1 - ci) / 2, (1 + ci) / 2
     return means.groupBy("metric").agg(F.percentile("m", F.lit(low)).alias("boot_lower"), F.percentile("m", F.lit(high)).alias("boot_upper"))
+
+
+def interval_table(long: DataFrame, ci: int = 95, resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """One row per metric of (metric, value): n, mean, std, median, and the bounds of both intervals at ``ci`` percent."""
+    both = t_intervals(long, ci / 100).join(bootstrap_intervals(long, resamples, ci / 100, seed), "metric")
+    bounds = [F.col(f"{c}_{side}").alias(f"{name}_ci_{ci}_{side}") for c, name in (("boot", "bootstrap"), ("t", "normal")) for side in ("lower", "upper")]
+    return both.select("metric", "n", "mean", "std", "median", *bounds)

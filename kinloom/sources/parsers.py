@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinloom.functions import text as T
+from kinloom.plans.scratch import Scratch
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(pos, value) of a text file or folder: pos counts lines in file order, without gaps."""
-    return spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("pos long, value string")
+    row, file = F.monotonically_increasing_id(), F.col("_metadata.file_path")
+    raw = Scratch(spark).table(spark.read.text(path).select("value", file.alias("file"), F.col("_metadata.file_block_start").alias("at"), row.alias("row")), "lines")
+    # rows of a file's block are read one after the other; blocks are counted, and only blocks are ordered
+    blocks = raw.groupBy("file", "at").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "at", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return raw.join(F.broadcast(blocks), ["file", "at"]).select((F.col("before") + F.col("row") - F.col("first")).alias("pos"), "value")
 
 
 def tolerant_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +45,7 @@ def _numbered(df: DataFrame, by: list[str], pos: str, name: str) -> DataFrame:
     """Distinct rows, numbered from 1 by first appearance, those of one place by their values. Ranks are counted per range of
     positions and summed over ranges, so no task orders all rows."""
     first = df.groupBy(*by).agg(F.min(pos).alias("_pos")).repartitionByRange("_pos").withColumn("_part", F.spark_partition_id())
-    first = first.persist()
+    first = Scratch(df.sparkSession).table(first, "first")
     before = first.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy("_pos", *by))
     return first.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, (rank + F.col("_before")).cast("long")).drop("_part", "_before", "_pos")
@@ -146,7 +153,8 @@ def wiese(df: DataFrame) -> DataFrame:
 def wiese_pairs(clusters: DataFrame) -> DataFrame:
     """All pairs of email occurrences, equal if of one cluster."""
     e = clusters.select("pos", "cluster_id", F.posexplode("emails").alias("k", "email"))
-    return _all_pairs(_numbered(e.withColumn("at", F.col("pos") * 10000 + F.col("k")), ["pos", "k", "cluster_id"], "at", "id").withColumn("id", F.col("id") - 1), "cluster_id")
+    numbered = _numbered(e.withColumn("at", F.struct("pos", "k")), ["pos", "k", "cluster_id"], "at", "id")
+    return _all_pairs(numbered.withColumn("id", F.col("id") - 1), "cluster_id")
 
 
 def wiese_developers(clusters: DataFrame, devs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Quote marks inside fields are doubled, white space at their ends stays.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 METRICS = ("precision", "recall", "f1", "accuracy", "balanced_accuracy", "splitting", "lumping")
 
 
@@ -14,7 +16,7 @@ def write_resolution(df: DataFrame, path: str, append: bool = False, drop_flags:
         df = df.drop("is_original_author_weird_id")
     rest = [c for c in df.columns if c != "original_author_id"]
     out = df.orderBy(F.lower("original_author_id"), "original_author_id", *rest)
-    out.write.mode("append" if append else "overwrite").csv(path, sep=";", quoteAll=True, header=True)
+    out.write.mode("append" if append else "overwrite").csv(path, sep=";", quoteAll=True, **CSV)
 
 
 def metric_rows(metrics: DataFrame) -> DataFrame:
@@ -24,7 +26,7 @@ def metric_rows(metrics: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    df.write.mode("overwrite").csv(path, **CSV)
 
 
 def write_lookup(df: DataFrame, column: str, path: str) -> None:
@@ -34,3 +36,27 @@ def write_lookup(df: DataFrame, column: str, path: str) -> None:
 
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
+
+
+def per_group_rows(groups: DataFrame, name: str = "username") -> DataFrame:
+    """Per-group metrics as their file has them: the percentage with two decimals, ratios with four."""
+    digits = {"merge_percentage": "%.2f", **dict.fromkeys(METRICS, "%.4f")}
+    return groups.select(F.col("grp").alias(name), F.col("n").alias("num_authors"), *[F.format_string(f, F.col(c)).alias(c) for c, f in digits.items()])
+
+
+def write_groups(groups: DataFrame, reasons: DataFrame, folder: str, name: str = "username") -> None:
+    """Results (name, all_merged, reason) and metrics of groups, a file folder each."""
+    write_csv(reasons.withColumnRenamed("grp", name).orderBy(name), f"{folder}/results")
+    write_csv(per_group_rows(groups, name).orderBy(name), f"{folder}/per_{name}")
+
+
+def write_files(files: dict[str, DataFrame], folder: str) -> None:
+    """Each table as CSV below its name, ordered by its columns; numeric ids by value. A summary keeps its order."""
+    for name, df in files.items():
+        first = [F.length(F.ltrim(F.col(c), F.lit("0"))) for c in df.columns if c == "numeric_id"]
+        write_csv(df if name == "summary" else df.orderBy(*first, *df.columns), f"{folder}/{name}")
+
+
+def write_commits(df: DataFrame, path: str) -> None:
+    """``;``-separated, texts quoted."""
+    df.write.mode("overwrite").csv(path, sep=";", quoteAll=True, **CSV)

@@ -19,4 +19,4 @@ def stream_line_qa(lines: DataFrame) -> DataFrame:
 
 def stream_counts(events: DataFrame, late: str = "1 day", window: str = "1 hour") -> DataFrame:
     """Counts per type and window of (ts, event_type), closed by a watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"))

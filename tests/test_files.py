@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kinloom.config import Config
 from kinloom.operators import evaluate
-from kinloom.sources import files
+from kinloom.sources import files, parsers, sinks
 
 
 def test_csv_dialects(spark, tmp_path):
@@ -49,3 +49,28 @@ def test_resolve_file(spark, tmp_path):
     back = spark.read.csv(str(tmp_path / "out"), sep=";", header=True)
     assert found.count() == back.count() == 4 and back.select("dealiased_author_id").distinct().count() == 2
     assert {r.dealiased_author_id for r in back.where(F.col("original_author_id").contains("quill")).collect()} == {"Ana Quill <ana.quill@a.org>"}
+
+
+def test_written_texts_come_back(spark, tmp_path):
+    d = spark.createDataFrame([(' a "q"; x', "one,"), ("", ' "'), ("line\nend ", "ü")], "original_author_id string, t string")
+    sinks.write_resolution(d, str(tmp_path / "r"))
+    sinks.write_csv(d, str(tmp_path / "c"))
+    for found in (files.read_commits(spark, str(tmp_path / "r")), files.read_csv(spark, str(tmp_path / "c"))):
+        assert sorted((a or "", b) for a, b in found.collect()) == sorted(map(tuple, d.collect()))
+
+
+def test_lines_are_numbered_over_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.txt").write_text("".join(f"{i} {j}\n" for j in range(5 - i)))
+    assert [r.value for r in parsers.lines(spark, str(tmp_path)).orderBy("pos").collect()] == [f"{i} {j}" for i in range(3) for j in range(5 - i)]
+    assert sorted(r.pos for r in parsers.lines(spark, str(tmp_path)).collect()) == list(range(12))
+
+
+def test_interval_table(spark):
+    d = spark.createDataFrame([("m", float(x)) for x in range(40)] + [("one", 2.0)], "metric string, value double")
+    rows = {r.metric: r for r in evaluate.interval_table(d, 90, 2000).collect()}
+    m = rows["m"]
+    assert (m.n, m.mean, m.median) == (40, 19.5, 19.5) and abs(m.std - 11.5434) < 1e-3
+    assert abs(m.normal_ci_90_lower - 16.3857) < 1e-2 and abs(m.normal_ci_90_upper - 22.6143) < 1e-2
+    assert abs(m.bootstrap_ci_90_lower - 16.5) < 0.5 and abs(m.bootstrap_ci_90_upper - 22.5) < 0.5
+    assert rows["one"].normal_ci_90_lower == rows["one"].bootstrap_ci_90_upper == 2.0

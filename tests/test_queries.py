@@ -6,11 +6,12 @@ import duckdb
 import pandas as pd
 import pytest
 
-from kinloom.plans import catalogue
+from kinloom.plans import catalogue, formats
 
 DATA = "/root/testdata/sf0.01"
-TABLES = "customer documents embeddings events lineitem orders part".split()
-SQL = catalogue.oracle_sql()
+TABLES = "customer documents embeddings events lineitem orders part supplier".split()
+QUERIES = catalogue.queries() | formats.queries()
+SQL = catalogue.oracle_sql() | formats.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +33,6 @@ def canon(df):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, con, name):
-    got, want = catalogue.queries()[name](spark, DATA).toPandas(), con.execute(SQL[name]).df()
+    got, want = QUERIES[name](spark, DATA).toPandas(), con.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canon(got) == canon(want) and (len(got) or name == "fn_pairs")
