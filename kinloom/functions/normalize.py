@@ -22,15 +22,17 @@ _STAMPS = (re.compile(r"^\s*\d+:\d+:\d+\s+"), re.compile(r"\s+\d+:\d+:\d+\s*$"))
 
 
 @lru_cache(maxsize=8)
-def _ends(zones: bool, years: bool) -> list[re.Pattern]:
+def _ends(zones: bool, years: bool) -> tuple[re.Pattern, list[re.Pattern]]:
+    """What any of the patterns needs to match, and the patterns in their order."""
     words = [*(T.TIMEZONES if zones else ()), *(T.YEARS if years else ())]
-    return [p for w in words for p in (re.compile(rf"^{w}\s+"), re.compile(rf"\s+{w}$"))]
+    every = "|".join(words) or "(?!)"
+    return re.compile(rf"^(?:{every})\s|\s(?:{every})$"), [p for w in words for p in (re.compile(rf"^{w}\s+"), re.compile(rf"\s+{w}$"))]
 
 
 def normaliser(config: Config) -> Callable[[str | None, bool, bool], str | None]:
     """A plain function (text, german, leet) -> normal form, None for None."""
     titles, first = frozenset(T.TITLES), frozenset(n.lower() for n in config.first_names)
-    ends = _ends(config.remove_timezones, config.remove_years)
+    some, ends = _ends(config.remove_timezones, config.remove_years)
 
     def normalise(text: str | None, german: bool, leet: bool) -> str | None:
         if text is None:
@@ -40,13 +42,19 @@ def normaliser(config: Config) -> Callable[[str | None, bool, bool], str | None]
             text = unicodedata.normalize("NFC", text)
         if leet:
             text = text.translate(_LEET)
-        for pattern in (*(_STAMPS if config.remove_timestamps else ()), *ends):
-            text = pattern.sub("", text)
+        if config.remove_timestamps and ":" in text:
+            for pattern in _STAMPS:
+                text = pattern.sub("", text)
+        if some.search(text):
+            for pattern in ends:
+                text = pattern.sub("", text)
         words = text.split()
         if config.remove_titles:
             words = [w for w in words if w not in titles]
-        text = " ".join(words).translate(_GERMAN if german else _ONE)
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+        text = " ".join(words)
+        if not text.isascii():  # the maps and marks are outside ASCII
+            text = text.translate(_GERMAN if german else _ONE)
+            text = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
         if config.remove_punctuation:
             text = _PUNCTUATION.sub("", text)
         words = text.split()
@@ -71,7 +79,9 @@ def forms_udf(config: Config):
 
         def of(text):
             if text not in known:
-                known[text] = None if text is None else sorted({normalise(text, g, k) for g in (True, False) for k in (True, False)})
+                # German customs are about letters outside ASCII, leetspeak about its own characters
+                german, leet = (text is None or not text.isascii()), (text is None or not _LEET.keys().isdisjoint(map(ord, text)))
+                known[text] = None if text is None else sorted({normalise(text, g, k) for g in {german, False} for k in {leet, False}})
             return known[text]
 
         return texts.map(lambda ts: None if ts is None else [of(t) for t in ts])

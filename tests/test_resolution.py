@@ -155,3 +155,13 @@ def test_report_and_file(spark, tmp_path):
         sinks.write_resolution(out.drop("username"), path, append=True, drop_flags=True)
     back = spark.read.csv(path, sep=";", header=True)
     assert back.columns == ["project", "original_author_id", "dealiased_author_id"] and back.count() == 2 * len(ALIASES)
+
+
+def test_forms_are_those_of_all_customs(spark):
+    """Texts whose customs make no difference are worked out once; the result is that of all four."""
+    from kinloom.functions.normalize import forms_udf, normaliser
+
+    texts = ["", "Ann", "Jörg Weiß", "l33t", "GMT ann 1999", "13:37:28 ẍ $", "cet", "é É ß €", "Dr. III Bo", "İ 2021 utc "]
+    normal = normaliser(Config())
+    got = spark.createDataFrame([(texts,)], "t array<string>").select(forms_udf(Config())("t").alias("f")).first().f
+    assert got == [sorted({normal(t, g, k) for g in (True, False) for k in (True, False)}) for t in texts]
