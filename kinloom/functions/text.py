@@ -98,13 +98,22 @@ def ill_encoded(c: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def _quoted(terms) -> str:
+    return ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms)
+
+
+def among(c: Column, terms) -> Column:
+    """Whether ``c`` is one of many terms, as a hash lookup. The JVM parses the list at once; ``isin`` would send each
+    term by itself, which for long lists takes the driver longer than the plan."""
+    return F.call_function("exists", F.array(c), F.expr(f"x -> x IN ({_quoted(terms)})")) if terms else F.lit(False)
+
+
 def blacklisted(c: Column, terms: list[str]) -> Column:
     """Equal to a term, or containing one of at least four characters."""
-    low = F.lower(c)
-    hit = low.isin(terms)
-    for t in terms:
-        if len(t) >= 4:
-            hit = hit | F.contains(low, F.lit(t))
+    low, long = F.lower(c), [t for t in terms if len(t) >= 4]
+    hit = among(low, terms)
+    if long:
+        hit = hit | F.call_function("exists", F.array(low), F.expr(f"x -> exists(array({_quoted(long)}), t -> contains(x, t))"))
     return F.coalesce((c != "") & hit, F.lit(False))
 
 

@@ -63,13 +63,13 @@ def aliases(df: DataFrame, config: Config, group: str | None = None) -> DataFram
 def _flags(a: DataFrame, config: Config) -> DataFrame:
     """Twelve flags; null for names of fewer than three characters."""
     whole = F.get("normal", F.lit(0))
-    of = lambda c, terms: F.coalesce(F.col(c).isin(list(terms)), F.lit(False)) if terms else F.lit(False)
-    named = lambda terms: F.coalesce(whole.isin(list(terms)), F.lit(False)) if terms else F.lit(False)
+    of = lambda c, terms: F.coalesce(T.among(F.col(c), terms), F.lit(False))
+    named = lambda terms: F.coalesce(T.among(whole, terms), F.lit(False))
     mailed = lambda terms: of("email", terms) | of("domain", terms) | of("prefix", terms)
     generic = config.blacklist_generic_terms
-    split = F.col("name").rlike(r"[ _.+]") & F.exists(F.coalesce(F.slice("normal", 2, 1 << 20), F.array()), lambda x: x.isin(list(generic)))
+    split = F.col("name").rlike(r"[ _.+]") & F.exists(F.coalesce(F.slice("normal", 2, 1 << 20), F.array()), lambda x: T.among(x, generic))
     # a prefix's pieces at "." alone or "_" alone, as the rule splits by one mark at a time
-    one_mark = lambda mark: F.exists(F.coalesce(F.split("prefix", mark), F.array()), lambda x: x.isin(list(generic)))
+    one_mark = lambda mark: F.exists(F.coalesce(F.split("prefix", mark), F.array()), lambda x: T.among(x, generic))
     values = [
         named(config.blacklist_git_hosting),
         named(config.blacklist_email_providers),
@@ -130,7 +130,7 @@ def key_rows(a: DataFrame, config: Config) -> DataFrame:
     full_mid = F.flatten(F.transform(F.filter(mid, lambda m: F.length(m["w"]) != 1), lambda m: _product(lambda x, k, y: _join(x, head(k), y), long(first), m["f"], long(last))))
     base = F.when(F.contains(low, F.lit(",")), T.strip(F.substring_index(low, ",", 1))).otherwise(low)
     bl = config.blacklist(config.blacklist_include_first_names)
-    fits = lambda arr: F.filter(arr, lambda x: (F.size(F.split(x, " ")) == 2) & (F.length(F.substring_index(x, " ", 1)) >= 2) & (F.length(F.substring_index(x, " ", -1)) >= 2) & ~x.isin(bl))
+    fits = lambda arr: F.filter(arr, lambda x: (F.size(F.split(x, " ")) == 2) & (F.length(F.substring_index(x, " ", 1)) >= 2) & (F.length(F.substring_index(x, " ", -1)) >= 2) & ~T.among(x, bl))
     kinds: dict[str, list[Column]] = {
         "email": [when(col("email").isNotNull(), one(col("email")))],
         "prefix": [when(has_prefix, col("prefix_forms")), when(has_prefix & compound, one(col("prefix_tight"))), when(has_prefix & compound, col("swapped_tight_forms")), when(has_prefix & ~compound, one(col("prefix_norm")))],

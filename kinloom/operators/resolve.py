@@ -54,20 +54,22 @@ RULES = (
 )
 
 
-def _guards(config: Config, name: str = "key") -> dict[str, Column]:
+def _guard(guard: str, config: Config, name: str = "key") -> Column:
+    """The test of keys that a rule names."""
     key = F.col(name)
     terms = config.blacklist(config.blacklist_include_first_names)
     names = [n.lower() for n in config.first_names]
-    not_first = lambda part: ~F.lower(part).isin(names) if names else F.lit(True)
+    not_first = lambda part: ~T.among(F.lower(part), names)
     long = F.length(key) >= config.thr_min_length
-    return {
-        "": F.lit(True),
-        "unlisted": ~key.isin(terms),
-        "clean_long": long & ~key.isin(terms) & ~T.blacklisted(key, config.blacklist(False)),
-        "long_name": long & (F.contains(key, F.lit(" ")) | ~key.isin(terms)),
-        "last_no_first_name": not_first(F.substring_index(key, SEP, -1)),
-        "first_no_first_name": not_first(F.substring_index(key, SEP, 1)),
+    tests = {
+        "": lambda: F.lit(True),
+        "unlisted": lambda: ~T.among(key, terms),
+        "clean_long": lambda: long & ~T.among(key, terms) & ~T.blacklisted(key, config.blacklist(False)),
+        "long_name": lambda: long & (F.contains(key, F.lit(" ")) | ~T.among(key, terms)),
+        "last_no_first_name": lambda: not_first(F.substring_index(key, SEP, -1)),
+        "first_no_first_name": lambda: not_first(F.substring_index(key, SEP, 1)),
     }
+    return tests[guard]()
 
 
 def sized_keys(keys: DataFrame, s: Scratch, hot_rows: int = HOT_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -88,7 +90,7 @@ def _pairs(left: DataFrame, right: DataFrame, label: str, where: Column | None =
 def rule_pairs(rule: Rule, keys: DataFrame, a: DataFrame, config: Config) -> DataFrame:
     """(grp, a, b, rule) of one rule; blocks are cut to size before they are paired."""
     low, high, label = config.thr_min, config.thr_max, LABELS.get(rule.option, rule.option)
-    k = keys.where(F.col("kind").isin(rule.left, rule.right)).where(_guards(config)[rule.guard]).select("grp", "kind", "key", "uid", "n")
+    k = keys.where(F.col("kind").isin(rule.left, rule.right)).where(_guard(rule.guard, config)).select("grp", "kind", "key", "uid", "n")
     left, right = (k.where(F.col("kind") == x).drop("kind") for x in (rule.left, rule.right))
     inside = lambda d: d.where((F.col("n") > low) & (F.col("n") < high))
     under = lambda d: d.where(F.col("n") < high)
@@ -149,9 +151,9 @@ def block_pairs(rules: list[Rule], keys: DataFrame, config: Config) -> DataFrame
     # guards look at the key alone, so they are tested once a block that has pairs; as a filter by the key they would
     # be tested once a row
     passed = F.lit(True)
-    for name, test in _guards(config, "text").items():
-        if mine := [i for i, r in enumerate(rules) if name and r.guard == name]:
-            passed = F.when(F.col("r").isin(mine), test).otherwise(passed)
+    for name in sorted({r.guard for r in rules} - {""}):
+        mine = [i for i, r in enumerate(rules) if r.guard == name]
+        passed = F.when(F.col("r").isin(mine), _guard(name, config, "text")).otherwise(passed)
     blocks = blocks.where(passed)
     less = at([r.order == "<" for r in rules])
     p = blocks.select("grp", less.alias("less"), at([LABELS.get(r.option, r.option) for r in rules]).alias("rule"), F.explode("x").alias("uid"), "y")
@@ -182,7 +184,7 @@ def candidate_pairs(a: DataFrame, keys: DataFrame, config: Config) -> DataFrame:
         terms = config.blacklist(config.blacklist_include_first_names)
         names = keys.where("kind = 'name'").select("grp", F.col("key").alias("name"), "n").distinct()
         placed = keys.where("kind = 'location'").where(F.col("n") > config.thr_min).select("grp", F.col("key").alias("place"), "uid")
-        placed = placed.join(a.where((F.size("words") > 1) & ~F.col("name").isin(terms)).select("grp", "uid", "name"), ["grp", "uid"])
+        placed = placed.join(a.where((F.size("words") > 1) & ~T.among(F.col("name"), terms)).select("grp", "uid", "name"), ["grp", "uid"])
         placed = placed.join(names, ["grp", "name"], "left").where(F.coalesce("n", F.lit(0)) < high)
         placed = placed.select("grp", F.concat_ws(SEP, "place", "name").alias("key"), "uid")
         found.append(_pairs(placed, placed, "LOCATION", None, "<"))
