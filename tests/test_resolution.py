@@ -208,3 +208,13 @@ def test_all_pairs_are_dealt_over_tasks(spark):
     assert got.rdd.getNumPartitions() == 120 * 119 // 2 // 100 + 1
     want = sorted((i, j, -1 if 5 in (i, j) else int(i % 3 == j % 3)) for j in range(120) for i in range(j))
     assert sorted((r.id1, r.id2, -1 if r.label is None else r.label) for r in got.collect()) == want
+
+
+def test_wiese_pairs_are_dealt_over_tasks(spark, monkeypatch):
+    """Addresses of cluster lines meet in tasks by the number of pairs."""
+    real = parsers._all_pairs
+    monkeypatch.setattr(parsers, "_all_pairs", lambda ids, same: real(ids, same, 8, task_pairs=100))
+    lines = spark.createDataFrame([(i, f"k{i % 4}#=##=#a{i}@x.org#;#b{i}@x.org") for i in range(30)], "pos long, value string")
+    got = parsers.wiese_pairs(parsers.wiese(lines))
+    assert got.rdd.getNumPartitions() == 60 * 59 // 2 // 100 + 1
+    assert sorted(map(tuple, got.collect())) == sorted((i, j, int(i // 2 % 4 == j // 2 % 4)) for j in range(60) for i in range(j))
