@@ -76,6 +76,7 @@ def resolve_file(spark: SparkSession, path: str, out: str, project: str = "", co
     """Reads an alias file, resolves it and writes the resolution; returns what was written."""
     s, config = Scratch(spark), config or Config()
     df = s.table(parsers.parse_aliases(parsers.lines(spark, path), with_username), "aliases")
-    found = s.table(report(df, resolve(df, config, scratch=s), s.table(aliases(df, config), "prepared"), project), "report")
+    a = s.table(aliases(df, config), "prepared")
+    found = s.table(report(df, resolve(df, config, scratch=s, prepared=a), a, project), "report")
     sinks.write_resolution(found, out)
     return found

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kinloom.config import Config
 from kinloom.operators import evaluate
+from kinloom.plans.scratch import Scratch
 from kinloom.sources import files, parsers, sinks
 
 
@@ -74,3 +75,11 @@ def test_interval_table(spark):
     assert abs(m.normal_ci_90_lower - 16.3857) < 1e-2 and abs(m.normal_ci_90_upper - 22.6143) < 1e-2
     assert abs(m.bootstrap_ci_90_lower - 16.5) < 0.5 and abs(m.bootstrap_ci_90_upper - 22.5) < 0.5
     assert rows["one"].normal_ci_90_lower == rows["one"].bootstrap_ci_90_upper == 2.0
+
+
+def test_resolve_file_prepares_aliases_once(spark, tmp_path, monkeypatch):
+    made, real = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name="t": made.append("word_forms" in df.columns) or real(self, df, name))
+    (tmp_path / "in.txt").write_text("Ann Lee <ann@a.org>\nAnn Lee <lee@b.org>\n")
+    files.resolve_file(spark, str(tmp_path / "in.txt"), str(tmp_path / "out"), "p")
+    assert sum(made) == 1
